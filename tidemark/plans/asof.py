@@ -38,6 +38,6 @@ facts as (
 ranked as (
   select ev.event_rec, ev.person_id, facts.attr_rec,
          row_number() over (partition by ev.event_rec, ev.person_id, facts.k order by facts.p desc, facts.ord desc nulls last, facts.attr_rec desc) as rn
-  from ev join at on facts.book_id = ev.book_id and facts.person_id = ev.person_id and facts.p <= ev.p)
+  from ev join facts on facts.book_id = ev.book_id and facts.person_id = ev.person_id and facts.p <= ev.p)
 select event_rec, person_id, attr_rec from ranked where rn = 1
 """
