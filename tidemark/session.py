@@ -41,3 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, with no lineage: losing an executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """The rows over at least twice as many partitions as there are cores, before a step of Python work; moved by hash of the key, so that a lost task finds the same rows."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *key)
