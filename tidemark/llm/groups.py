@@ -28,12 +28,18 @@ def _start(vertex: str, level: int, beta: float) -> F.Column:
 
 
 def _grow(edges: DataFrame, level: int, beta: float, hops: int) -> DataFrame:
-    """v, c: the cluster (named by its centre) that reaches each vertex first. edges holds both directions."""
-    label = edges.select("v").distinct().select("v", F.struct(_start("v", level, beta).alias("at"), F.col("v").alias("c")).alias("first"))
+    """v, c: the cluster (named by its centre) that reaches each vertex first. edges holds both directions, and each vertex's way to itself with a hop of 0."""
+    label = edges.where("hop = 0").select(F.col("w"), F.struct(_start("w", level, beta).alias("at"), F.col("w").alias("c")).alias("first"))
     for _ in range(hops):
-        reached = edges.join(label.withColumnRenamed("v", "w"), "w").select("v", F.struct((F.col("first.at") + 1).alias("at"), F.col("first.c").alias("c")).alias("first"))
-        label = label.unionByName(reached).groupBy("v").agg(F.min("first").alias("first"))
-    return label.select("v", F.col("first.c").alias("c"))
+        reached = edges.join(label, "w").select("v", F.struct((F.col("first.at") + F.col("hop")).alias("at"), F.col("first.c").alias("c")).alias("first"))
+        label = reached.groupBy("v").agg(F.min("first").alias("first")).withColumnRenamed("v", "w")
+    return label.select(F.col("w").alias("v"), F.col("first.c").alias("c"))
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    """v, w, hop of links v-w in both directions, with each vertex's way to itself."""
+    ways = F.explode(F.array(*(F.struct(F.col(a).alias("v"), F.col(b).alias("w"), F.lit(hop).alias("hop")) for a, b, hop in (("v", "w", 1), ("w", "v", 1), ("v", "v", 0), ("w", "w", 0)))))
+    return links.select(ways.alias("e")).select("e.*").distinct()
 
 
 def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = BETA, hops: int = HOPS) -> DataFrame:
@@ -43,17 +49,18 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", beta: float =
     link nothing and introduce no member. Direction and repetition of pairs are of no account. An empty table gives an
     empty table. Other columns are ignored.
     """
-    one = pairs.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v is not null and w is not null and v <> w")
-    edges = cut(one.unionByName(one.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
+    links = pairs.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v is not null and w is not null and v <> w")
+    edges = cut(_both_ways(links))
+    empty = edges.select(F.col("v").alias("member"), F.col("w").alias("group_id"))
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         cluster = cut(_grow(edges, len(levels), beta, hops))
         levels.append(cluster)
-        here = cluster.select("v", F.col("c").alias("cv"))
-        there = cluster.select(F.col("v").alias("w"), F.col("c").alias("cw"))
-        edges = cut(edges.join(here, "v").join(there, "w").where("cv <> cw").select(F.col("cv").alias("v"), F.col("cw").alias("w")).distinct())
+        here, there = cluster.select("v", F.col("c").alias("cv")), cluster.select(F.col("v").alias("w"), F.col("c").alias("cw"))
+        between = edges.where("hop = 1 and v < w").join(here, "v").join(there, "w").where("cv <> cw")
+        edges = cut(_both_ways(between.select(F.col("cv").alias("v"), F.col("cw").alias("w"))))
     if not levels:
-        return edges.select(F.col("v").alias("member"), F.col("w").alias("group_id"))
+        return empty
     top = levels[-1]
     for lower in reversed(levels[:-1]):  # compose: a super-vertex without edges at the next level keeps its own name
         top = lower.join(top.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
