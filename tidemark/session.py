@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _forget() -> None:
+    """Delete what cut() wrote, when the driver ends."""
+    for spark, path in _WRITTEN:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the gateway may be gone
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, with no lineage: losing an executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written once to the shared checkpoint folder and read from there: no lineage, and losing an executor loses nothing.
+
+    A written table is computed once, where checkpoint() computes its last stage twice; it is columnar and compressed.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
+    if not _WRITTEN:
+        atexit.register(_forget)
+    _WRITTEN.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
