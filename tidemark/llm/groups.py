@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-#: Rate of the exponential shifts: of a level's edges at most about this share is cut. Smaller: wider clusters, fewer levels.
-BETA = 0.4
-#: Hops that clusters grow in one level. Where growth is stopped early, clusters are smaller, never wrong.
+#: Rate of the exponential shifts. Untruncated growth would cut about this share of a level's edges.
+BETA = 0.1
+#: Hops that clusters grow in one level, then they contract: with so low a rate a group of small diameter becomes one cluster at once, a long chain shrinks by about twice this. Stopping early makes clusters smaller, never wrong.
 HOPS = 4
 
 
