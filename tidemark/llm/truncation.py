@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import spread
+from tidemark.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -156,10 +156,10 @@ def _endings(texts: DataFrame, first_words: set[str]) -> DataFrame:
 
 def _looked_up(asked: DataFrame, counts: DataFrame) -> DataFrame:
     """The asked keys with their counts. Keys that many texts ask for are joined by broadcast: each has a thousandth of all rows or more, so there are at most 1,000."""
-    uses = asked.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    asked = cut(asked)
     total = asked.count()
-    found = uses.join(counts, "key")
-    hot = uses.where(F.col("uses") > max(1000, total // 1000)).join(counts, "key").select("key", F.col("n").alias("hot_n"), F.col("ends").alias("hot_ends"))
+    found = cut(asked.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).join(counts, "key"))
+    hot = found.where(F.col("uses") > max(1000, total // 1000)).select("key", F.col("n").alias("hot_n"), F.col("ends").alias("hot_ends"))
     first = asked.join(F.broadcast(hot), "key", "left")
     rest = first.where("hot_n is null").drop("hot_n", "hot_ends").join(found.select("key", "n", "ends"), "key", "left")
     return rest.unionByName(first.where("hot_n is not null").withColumnRenamed("hot_n", "n").withColumnRenamed("hot_ends", "ends"))
@@ -229,8 +229,8 @@ def judge_texts(texts: DataFrame, names: DataFrame, limits: Limits = LIMITS) ->
     limited = sized.join(at, ["source", "field", "unit", "length"], "left_semi").select("rec_id").distinct().withColumn("at_limit", F.lit(True))
     joined = texts.select("rec_id", "source").distinct().join(ends.withColumn("unclosed", F.lit(True)), "rec_id", "left").join(limited, "rec_id", "left")
     bound = F.when(F.coalesce("at_limit", F.lit(False)), limits.open_end).otherwise(limits.rare_end)
-    cut = F.coalesce("unclosed", F.lit(False)) & (F.coalesce("unknown_word", F.lit(False)) | (F.coalesce("end_share", F.lit(0.0)) < bound))
-    return joined.select("rec_id", F.when(F.col("source") != "\x00", F.col("source")).alias("source"), cut.alias("cut"))
+    stopped = F.coalesce("unclosed", F.lit(False)) & (F.coalesce("unknown_word", F.lit(False)) | (F.coalesce("end_share", F.lit(0.0)) < bound))
+    return joined.select("rec_id", F.when(F.col("source") != "\x00", F.col("source")).alias("source"), stopped.alias("cut"))
 
 
 def rates(judged: DataFrame) -> DataFrame:
