@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import asof, log, text
+from tidemark.plans import activity, asof, log, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": asof.p2_found} | log.QUERIES | text.QUERIES
-ORACLES: dict[str, str] = {"p2_found": asof.P2_SQL} | log.ORACLES | text.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": asof.p2_found} | log.QUERIES | text.QUERIES | activity.QUERIES
+ORACLES: dict[str, str] = {"p2_found": asof.P2_SQL} | log.ORACLES | text.ORACLES | activity.ORACLES
