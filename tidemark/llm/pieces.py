@@ -143,7 +143,7 @@ def _boundaries(own: DataFrame, overlap: int) -> DataFrame:
 def _starts(ends: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
     """book_id, seg, pos, start: where the piece after a boundary starts, OVERLAP back but not inside a word or a surrogate pair."""
     asked = ends.select("book_id", "seg", "o0", "pos").withColumn("q", F.greatest(F.col("pos") - limits.overlap, F.col("o0")))
-    extent = texts.select("book_id", "block_no", "o", "size", _stretches(F.col("o"), F.col("o") + F.col("size"), limits.stretch).alias("b"))
+    extent = texts.select("book_id", "block_no", "o", "size").distinct().select("book_id", "block_no", "o", "size", _stretches(F.col("o"), F.col("o") + F.col("size"), limits.stretch).alias("b"))
     at = asked.select("book_id", "q").distinct().withColumn("b", F.floor(F.col("q") / limits.stretch))
     placed = at.join(extent, ["book_id", "b"]).where("o < q and q < o + size").groupBy("book_id", "block_no").agg(F.collect_set("q").alias("qs"))
 
@@ -156,7 +156,7 @@ def _starts(ends: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
             out.append({q: int(m) for q, m in moved.items() if m != q})
         return pd.Series(out)
 
-    moves = placed.join(texts, ["book_id", "block_no"]).select("book_id", F.explode(forward("t", "o", "qs")).alias("q", "moved"))
+    moves = placed.join(texts, ["book_id", "block_no"]).select("book_id", F.explode(forward("t", "o", "qs")).alias("q", "moved")).distinct()
     return asked.join(moves, ["book_id", "q"], "left").select("book_id", "seg", "pos", F.least(F.coalesce("moved", "q"), "pos").alias("start"))
 
 
@@ -176,7 +176,7 @@ def _chains(gaps: DataFrame, starts: DataFrame, texts: DataFrame, overlap: int)
                     rows.append((book, seg, *before, None))
             yield pd.DataFrame(rows, columns=["book_id", "seg", "pos", "start", "next"]).astype({"pos": "int64", "start": "Int64", "next": "Int64"})
 
-    rows = gaps.join(starts, ["book_id", "seg", "pos"]).join(texts, ["book_id", "block_no"]).select("book_id", "seg", "lim", "pos", "goal", "start", "o", "t")
+    rows = gaps.join(starts, ["book_id", "seg", "pos"]).join(texts.select("book_id", "seg", "block_no", "o", "t"), ["book_id", "seg", "block_no"]).select("book_id", "seg", "lim", "pos", "goal", "start", "o", "t")
     return rows.mapInPandas(walk, "book_id string, seg long, pos long, start long, next long")
 
 
@@ -193,8 +193,10 @@ def split_segments(segs: DataFrame, blocks: DataFrame, limits: Limits = LIMITS)
     texts = texts.withColumn("size", F.expr("cast(octet_length(encode(t, 'UTF-16LE')) / 2 as bigint)"))
     keys = ["book_id", "seg"]
     spans = over.withColumn("b", _stretches(F.col("o0"), F.col("o1"), limits.stretch))
-    near = texts.withColumn("b", _stretches(F.col("o"), F.col("o") + F.col("size"), limits.stretch))
-    own = near.join(spans, ["book_id", "b"]).where("o < o1 and o + size >= o0 and (o >= o0 or o + size > o0)").drop("b").dropDuplicates([*keys, "block_no", "o"])
+    # Which blocks belong to which segment is found by their extents; texts move once, and only those of oversized segments are kept.
+    extents = texts.select("book_id", "block_no", "o", "size").withColumn("b", _stretches(F.col("o"), F.col("o") + F.col("size"), limits.stretch))
+    hits = extents.join(spans, ["book_id", "b"]).where("o < o1 and o + size >= o0 and (o >= o0 or o + size > o0)").drop("b", "size").distinct()
+    own = cut(hits.join(texts, ["book_id", "block_no", "o"]))
     found = cut(_boundaries(own, limits.overlap))
     ends = found.where("kind > 0").select(*keys, "o0", "o1", "lim", "pos", "kind").distinct()
     covered = own.groupBy(*keys).agg(F.sum(F.least(F.col("o") + F.col("size"), F.col("o1")) - F.greatest("o", "o0") + 1).alias("_n"))
@@ -203,11 +205,9 @@ def split_segments(segs: DataFrame, blocks: DataFrame, limits: Limits = LIMITS)
     grid = bare.select(*keys, "o0", "o1", "lim", F.explode(F.sequence(F.col("o0") + half, F.col("o1"), half)).alias("pos"), F.lit(GRID).alias("kind"))
     last = over.select(*keys, "o0", "o1", "lim", F.col("o1").alias("pos"), F.lit(BLOCK).alias("kind"))
     ends = ends.unionByName(grid).unionByName(last).groupBy(*keys, "o0", "o1", "lim", "pos").agg(F.max("kind").alias("kind"))
-    spots = over.select("book_id").distinct()
-    texts = texts.join(spots, "book_id", "left_semi")
     first = over.select(*keys, F.col("o0").alias("pos"), F.col("o0").alias("start"))
-    starts = cut(_starts(ends, texts, limits).unionByName(first))
-    chains = cut(_chains(found.where("kind = 0").select(*keys, "lim", "block_no", "pos", "goal"), starts, texts, limits.overlap))
+    starts = cut(_starts(ends, own, limits).unionByName(first))
+    chains = cut(_chains(found.where("kind = 0").select(*keys, "lim", "block_no", "pos", "goal"), starts, own, limits.overlap))
     starts = starts.unionByName(chains.where("start is not null").select(*keys, "pos", "start"))
     # Successor: the farthest boundary of the best kind in (pos, start + limit]. Boundaries are also shown to the next stretch, so no lookup crosses one.
     bounds = over.select(*keys, "o1", "lim")
