@@ -5,7 +5,7 @@ Two kinds of evidence are combined.
 Endings. In each sentence of the corpus, after every word, a context is counted: the sentence so far with names and numbers
 masked, its last few words, and its last words only; and how often the sentence ends there. The end of an unclosed text is looked up in
 the longest context that is frequent enough. A text that stops where sentences hardly ever stop is cut. So is one whose last word
-occurs nowhere as a whole word.
+occurs nowhere as a whole word, that is before another word or a closing mark, or in a name.
 
 Lengths. For each source, field and unit of length a log-normal distribution, right-censored at the candidate limit, is fitted by
 maximum likelihood (the censored part by expectation-maximisation). The posterior that a value of exactly that length was censored is one minus
