@@ -114,7 +114,7 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     """book_id, block_no, k, t, src, o, error of every file under a path.
 
     The id is the first 16 digits of the SHA-1 of the bytes, so that equal files are one book. o is the block's offset in
-    UTF-16 units, blocks joined by a line feed. An empty or unreadable file gives one row with an error and no block.
+    UTF-16 units, blocks joined by a line feed. A blank or unreadable file gives one row with an error and no block; files of no bytes are skipped by the scan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.substring(F.sha1("content"), 1, 16).alias("book_id"), "path", "content").dropDuplicates(["book_id"])
