@@ -99,7 +99,7 @@ def _key(text: str) -> int:
 
 
 def _counts(texts: DataFrame, first_words: set[str]) -> DataFrame:
-    """key, n, ends of every context, and of every whole word (as "w" + word); rows of the field "" are names, which only give words."""
+    """key, n, ends of every context, ends at a closing mark only, and of every whole word (as "w" + word); rows of the field "" are names, which only give words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, n, ends = _Reader(first_words), {}, {}
@@ -125,7 +125,7 @@ def _counts(texts: DataFrame, first_words: set[str]) -> DataFrame:
                     for i in range(len(masked)):
                         for key in reader.contexts(masked, i):
                             n[key] = n.get(key, 0) + 1
-                    for key in reader.contexts(masked, len(masked) - 1):
+                    for key in () if unclosed else reader.contexts(masked, len(masked) - 1):
                         ends[key] = ends.get(key, 0) + 1
             if len(n) > 400_000:
                 yield flush()
@@ -154,15 +154,24 @@ def _endings(texts: DataFrame, first_words: set[str]) -> DataFrame:
     return texts.mapInPandas(end, "rec_id long, level int, key long")
 
 
-def _looked_up(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """The asked keys with their counts. Keys that many texts ask for are joined by broadcast: each has a thousandth of all rows or more, so there are at most 1,000."""
-    asked = cut(asked)
-    total = asked.count()
-    found = cut(asked.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).join(counts, "key"))
+def _looked_up(asked: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rec_id, level, key, n, ends of the asked contexts; and the rec_id of the texts whose last word occurs nowhere as a whole word.
+
+    The ends of unclosed texts count where their last word is whole, so that names cut in two make no context look like an end. Keys that many
+    texts ask for are joined by broadcast: each has a thousandth of all rows or more, so there are at most 1,000.
+    """
+    words = asked.where("level = 3")
+    missing = words.select("key").distinct().join(counts, "key", "left_anti")
+    unknown = cut(words.join(missing, "key", "left_semi").select("rec_id").distinct())
+    contexts = asked.where("level < 3")
+    open_ends = contexts.join(unknown, "rec_id", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("open"))
+    total = contexts.count()
+    found = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).join(counts, "key").join(open_ends, "key", "left")
+    found = cut(found.select("key", "uses", "n", (F.col("ends") + F.coalesce("open", F.lit(0))).alias("ends")))
     hot = found.where(F.col("uses") > max(1000, total // 1000)).select("key", F.col("n").alias("hot_n"), F.col("ends").alias("hot_ends"))
-    first = asked.join(F.broadcast(hot), "key", "left")
+    first = contexts.join(F.broadcast(hot), "key", "left")
     rest = first.where("hot_n is null").drop("hot_n", "hot_ends").join(found.select("key", "n", "ends"), "key", "left")
-    return rest.unionByName(first.where("hot_n is not null").withColumnRenamed("hot_n", "n").withColumnRenamed("hot_ends", "ends"))
+    return rest.unionByName(first.where("hot_n is not null").withColumnRenamed("hot_n", "n").withColumnRenamed("hot_ends", "ends")), unknown
 
 
 def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: int, rounds: int = 30) -> tuple[float, float]:
@@ -213,15 +222,12 @@ def judge_texts(texts: DataFrame, names: DataFrame, limits: Limits = LIMITS) ->
     first_words = {row.w for row in first.where(F.col("n") >= max(2, limits.first_word * total)).collect()}
     spelled = names.where("spelling is not null").select(F.lit("").alias("field"), F.col("spelling").alias("text"))
     counts = _counts(texts.select("field", "text").unionByName(spelled), first_words)
-    asked = _endings(texts.select("rec_id", "text"), first_words).distinct()
-    rows = _looked_up(asked, counts)
-    # One row per unclosed text: the longest frequent context, without the text itself, and whether the last word is known.
+    rows, unknown = _looked_up(cut(_endings(texts.select("rec_id", "text"), first_words).distinct()), counts)
+    # One row per unclosed text: the longest frequent context, without the text itself.
     share = (F.col("ends") - 1 + 0.02) / F.col("n")
-    frequent = (F.col("level") < 3) & (F.col("n") - 1 >= limits.least)
-    ends = rows.groupBy("rec_id").agg(
-        F.min_by(F.when(frequent, share), F.when(frequent, F.col("level"))).alias("end_share"),
-        F.max((F.col("level") == 3) & F.col("n").isNull()).alias("unknown_word"),
-    )
+    frequent = F.col("n") - 1 >= limits.least
+    ends = rows.groupBy("rec_id").agg(F.min_by(F.when(frequent, share), F.when(frequent, F.col("level"))).alias("end_share"))
+    ends = ends.join(unknown.withColumn("unknown_word", F.lit(True)), "rec_id", "left")
     measures = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").cast("long").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").cast("long").alias("length"))))
     sized = texts.select("rec_id", "source", "field", measures.alias("m")).select("rec_id", "source", "field", "m.*")
     histogram = sized.groupBy("source", "field", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
