@@ -131,3 +131,19 @@ def test_stuffed_pages(spark):
     assert len(judged) == len(rows) + len(fine)
     assert {r.doc_id for r in judged if r.stuffed} == {100, 101, 102, 103, 104, 105, 200, 201, 202}
     assert stuffing.judge(frame.limit(0)).count() == 0
+
+
+def test_stuffing_in_sentences(spark):
+    sentence = "The keeper of the mill walked to the quay and thought of the lantern. "
+    phrases = ["discount code", "texte intégral", "排行榜", "nouveauté"]
+    fragments = [(i, ", ".join([phrases[i % 4]] * 9) + f", number{i}") for i in range(120)]
+    en = "Get discount code now, discount code today, discount code every day. Looking for discount code? Our discount code is the best discount code."
+    fr = "Vous cherchez texte intégral ? Notre texte intégral est le meilleur texte intégral pour tous. Pourquoi texte intégral ? Parce que texte intégral est texte intégral."
+    zh = "想看排行榜？排行榜就来这里看排行榜，无删减也有。排行榜哪里好？排行榜无删减，无删减排行榜。"
+    one = "Vous cherchez nouveauté ? Notre nouveauté est le meilleur nouveauté pour eux. nouveauté ici, nouveauté partout et nouveauté."
+    stuffed = [(300, en), (301, fr), (302, zh), (303, sentence + en * 2), (304, one)]
+    refrain = "Nobody ever asked her for the discount code again. "
+    fine = [(200, sentence * 9), (201, sentence * 4 + en[:68]), (202, refrain * 6), (203, sentence + refrain * 6), (204, "她在码头等消息，一直等到天亮。" * 3 + "有人说起排行榜。")]
+    assert all(stuffing._text().parts(text)[1] == [] for _, text in stuffed)  # whole sentences only
+    frame = spark.createDataFrame(fragments + stuffed + fine, "doc_id long, text string")
+    assert {r.doc_id for r in stuffing.judge(frame).collect() if r.stuffed} == {i for i, _ in fragments + stuffed}

@@ -8,7 +8,11 @@ occurs elsewhere in the page is maximal on the left; the union of these is the c
 Corpus evidence: words that the corpus uses in fragments and hardly ever in sentences ("epub", "slipcase"), counted over
 all distinct texts. A cast or an inventory repeats itself as much as spam does, but its words also live in sentences.
 
-The automaton is built only for pages whose clause structure is missing, since only these can be stuffed.
+Pseudo-sentences: keyword stuffing also comes with full stops ("Get discount code now, discount code today."), so clause structure
+acquits no page by itself. Parts that hold a fragment word are keyed; where they make up most of the page, fragment words are a good part of
+their characters, and repeats cover the different ones among them (a refrain counts once), the page is stuffed whatever its clauses.
+
+The automaton is built only for pages whose clause structure is missing or that consist mostly of keyed parts.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from tidemark.session import spread
 class Limits:
     """Thresholds of the judgement, alike at every size of the corpus."""
 
-    clause_share: float = 0.35  #: at or above this share of characters in sentences a page is no case
+    clause_share: float = 0.35  #: at or above this share of characters in sentences a page is a case only by its keyed parts
+    keyed_share: float = 0.5  #: of the page's characters, how much must lie in parts with a fragment word
+    keyed_words: float = 0.15  #: of the keyed parts' characters, how much must be fragment words
     fragment_share: float = 0.5  #: of the fragments' characters, how much must lie in units with a link, tag or fragment word
     link_share: float = 0.5  #: of the fragments' characters, how much must lie in units with a link or tag where little repeats
     covered: float = 0.3  #: share of the fragments' characters that repeats cover
@@ -68,6 +74,15 @@ class _Text:
             words |= {run[i : i + 2] for i in range(max(1, len(run) - 1))}
         return words
 
+    def cue_size(self, part: str, cues: set[str]) -> tuple[int, int]:
+        """Characters of the words of a part, and those of them in fragment words."""
+        words = self.word.findall(self.han.sub(" ", part))
+        total, found = sum(map(len, words)), sum(len(w) for w in words if w.lower() in cues)
+        for run in self.han.findall(part):
+            places = {i for k in range(max(1, len(run) - 1)) if run[k : k + 2] in cues for i in range(k, min(k + 2, len(run)))}
+            total, found = total + len(run), found + len(places)
+        return total, found
+
     def size(self, part: str) -> int:
         """Characters of a part; an ideograph counts as two, a link or tag as a fixed length."""
         return len(part) + sum(map(len, self.han.findall(part))) + 24 * (part.count(LINK) + part.count(TAG))
@@ -147,6 +162,28 @@ def covered_by_repeats(words: list[str], least: int = 2) -> float:
     return covered / max(1, sum(map(len, words)))
 
 
+def keyed_cover(parts: list[str], cues: set[str], limits: Limits = LIMITS) -> float:
+    """Share of the characters of the different keyed parts that repeats, or fragment words that recur, cover; 0 for pages that do not consist mostly of keyed parts."""
+    t = _text()
+    sizes = list(map(t.size, parts))
+    spare = sum(sizes) * (1 - limits.keyed_share)
+    keyed = []
+    for part, n in zip(parts, sizes, strict=True):
+        if not cues.isdisjoint(t.cue_words(part)):
+            keyed.append(part)
+        elif (spare := spare - n) < 0:
+            return 0.0
+    total, found = map(sum, zip((0, 0), *(t.cue_size(part, cues) for part in keyed), strict=True))
+    if found < limits.keyed_words * max(1, total):
+        return 0.0
+    words = [w.lower() for part in dict.fromkeys(keyed) for w in t.word.findall(part)]
+    if len(words) < limits.least_words:
+        return 0.0
+    # A keyword of one word is no repeat of two words: such words count by themselves where they recur.
+    recurring = sum(len(w) * n for w, n in Counter(words).items() if n > 1 and w in cues)
+    return max(covered_by_repeats(words), recurring / sum(map(len, words)))
+
+
 def judge_text(text: str | None, cues: set[str], limits: Limits = LIMITS) -> tuple[bool, float, float, float]:
     """stuffed, clause share, share of fragments with a link, tag or fragment word, covered share; null, empty and blank texts are no case."""
     if not text or not text.strip():
@@ -156,7 +193,8 @@ def judge_text(text: str | None, cues: set[str], limits: Limits = LIMITS) -> tup
     rest, whole = sum(map(t.size, fragments)), sum(map(t.size, sentences))
     clauses = whole / max(1, rest + whole)
     if clauses >= limits.clause_share:
-        return False, clauses, 0.0, 0.0
+        covered = keyed_cover(sentences + fragments, cues, limits)
+        return covered >= limits.covered, clauses, 0.0, covered
     marked = linked = links = total = 0
     words: list[str] = []
     for fragment in fragments:
@@ -169,6 +207,7 @@ def judge_text(text: str | None, cues: set[str], limits: Limits = LIMITS) -> tup
     fragment_share, link_share = marked / max(1, total), linked / max(1, total)
     covered = covered_by_repeats(words)
     stuffed = len(words) >= limits.least_words and (fragment_share >= limits.fragment_share and covered >= limits.covered or link_share >= limits.link_share and links >= limits.least_links)
+    stuffed = stuffed or keyed_cover(sentences + fragments, cues, limits) >= limits.covered
     return stuffed, clauses, fragment_share, covered
 
 
