@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -118,17 +118,31 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchored_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes placed in the block that holds their position, or the two on either side: verbatim, or without marks."""
-    quotes = log_records(spark, sf_dir, "rel").where("trim(quote) <> '' and s is not null").select("rec_id", "book_id", "s", "quote").distinct()
-    blocks = table(spark, sf_dir, "blocks").select("book_id", "block_no", "o", F.coalesce("t", F.lit("")).alias("t"))
+    """Quotes placed in the block that holds their position, the two on either side, or the rest of its segment: verbatim, else without marks, else (12 characters or more) by their first half."""
+    quotes = log_records(spark, sf_dir, "rel").where("trim(quote) <> '' and s is not null").select("rec_id", "book_id", "s", "quote").distinct().withColumn("plain", X.without_punctuation(F.col("quote")))
+    blocks = table(spark, sf_dir, "blocks").select("book_id", "block_no", "o", F.coalesce("t", F.lit("")).alias("t")).withColumn("bare", X.without_punctuation(F.col("t")))
     spans = blocks.select("book_id", "block_no", "o", (F.col("o") + X.u16_length(F.col("t")) + 1).alias("end"))
-    at = within_spans(quotes, spans, "book_id", "s", "o", "end").select("rec_id", "book_id", "quote", "block_no")
-    near = at.select("rec_id", "book_id", "quote", F.explode(F.array(*(F.struct(F.lit(abs(d)).alias("distance"), (F.col("block_no") + d).alias("block_no")) for d in (0, -1, 1, -2, 2)))).alias("x")).select("rec_id", "book_id", "quote", "x.*")
-    rows = near.join(blocks.select("book_id", "block_no", "t"), ["book_id", "block_no"])
-    plain = X.without_punctuation(F.col("quote"))
-    stage = F.when(F.col("t").contains(F.col("quote")), 1).when((F.length(plain) >= 3) & X.without_punctuation(F.col("t")).contains(plain), 2)
-    found = rows.withColumn("stage", stage).where("stage is not null")
-    return found.groupBy("rec_id").agg(F.min(F.struct("stage", "distance", "block_no")).alias("m")).select("rec_id", "m.stage", "m.distance", "m.block_no")
+    at = within_spans(quotes, spans, "book_id", "s", "o", "end").select("rec_id", "book_id", "quote", "plain", F.col("block_no").alias("b0"))
+    near = at.select("rec_id", "book_id", "quote", "plain", "b0", F.explode(F.array(*((F.col("b0") + d).alias("block_no") for d in (0, -1, 1, -2, 2)))).alias("block_no"))
+    own = ["rec_id", "book_id", "quote", "plain", "b0"]
+    found = near.join(blocks.select("book_id", "block_no", "t", "bare"), ["book_id", "block_no"]).groupBy(*own).agg(F.min(_anchor()).alias("near"))
+    segs = table(spark, sf_dir, "segs").select("book_id", "seg", "o0", (F.col("o1") + 1).alias("o1")).distinct()
+    parts = within_spans(blocks, segs, "book_id", "o", "o0", "o1").select("book_id", "seg", "block_no", "t", "bare")
+    # Only quotes without a verbatim place near by have a segment to go on to: a null key joins nothing.
+    places = parts.select("book_id", F.col("block_no").alias("b0"), F.col("seg").alias("_seg"))
+    going = found.join(places, ["book_id", "b0"], "left").withColumn("seg", F.when(F.coalesce(F.col("near.stage") > 1, F.lit(True)), F.col("_seg"))).drop("_seg")
+    best = F.min(F.least("near", _anchor())).alias("m")
+    return going.join(parts, ["book_id", "seg"], "left").groupBy("rec_id").agg(best).where("m is not null").select("rec_id", "m.stage", "m.distance", "m.block_no")
+
+
+def _anchor() -> Column:
+    """Stage at which a block holds a quote, with what decides between blocks: nearness up to two blocks, then their order; null where it does not."""
+    # Marks are taken out once a quote and once a block, before the joins.
+    plain, text = F.col("plain"), F.col("bare")
+    half = F.substring(plain, F.lit(1), F.floor(F.length(plain) / 2).cast("int"))
+    stage = F.when(F.col("t").contains(F.col("quote")), 1).when((F.length(plain) >= 3) & text.contains(plain), 2).when((F.length(plain) >= 12) & text.contains(half), 3)
+    distance = F.abs(F.col("block_no") - F.col("b0"))
+    return F.when(stage.isNotNull(), F.struct(stage.alias("stage"), F.least(distance, F.lit(3)).alias("rank"), F.col("block_no").alias("block_no"), distance.alias("distance")))
 
 
 def seg_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
