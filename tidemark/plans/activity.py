@@ -48,9 +48,9 @@ def last_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty books added last, whose title or author holds a term."""
+    """The books whose title or author holds a term, last added first."""
     books = table(spark, sf_dir, "books").where("lower(concat_ws(' ', title, author)) like '%e%'")
-    return books.select("book_id", "title", F.coalesce(F.nullif(F.trim("author"), F.lit("")), F.lit("?")).alias("author"), "added_at").orderBy(F.desc("added_at"), "book_id").limit(20)
+    return books.select("book_id", "title", F.coalesce(F.nullif(F.trim("author"), F.lit("")), F.lit("?")).alias("author"), "added_at").orderBy(F.desc("added_at"), "book_id")
 
 
 def shelf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
