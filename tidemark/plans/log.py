@@ -218,11 +218,11 @@ def recaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccurring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of persons of one event, first twelve of it, with the number of their events."""
-    events = log_records(spark, sf_dir, "event").select("rec_id", "book_id", F.slice(F.array_sort(F.array_distinct(F.filter("who", lambda x: x.isNotNull()))), 1, 12).alias("w")).where("size(w) > 1").distinct()
-    # Each event makes its own pairs, at most 66, inside its row: no join.
-    pairs = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 2, 12), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return events.select("book_id", F.explode(pairs).alias("q")).groupBy("book_id", "q.a", "q.b").agg(F.count(F.lit(1)).alias("events"))
+    """Pairs of persons of one event, with the number of their events."""
+    events = log_records(spark, sf_dir, "event").select("rec_id", "book_id", F.array_sort(F.array_distinct(F.filter("who", lambda x: x.isNotNull()))).alias("w")).where("size(w) > 1").distinct()
+    # Each event makes its own pairs, split by their first member: no join, and no row longer than the event.
+    firsts = events.select("book_id", "w", F.posexplode("w").alias("i", "a"))
+    return firsts.select("book_id", "a", F.explode(F.slice("w", F.col("i") + 2, F.size("w"))).alias("b")).groupBy("book_id", "a", "b").agg(F.count(F.lit(1)).alias("events"))
 
 
 def never_together(spark: SparkSession, sf_dir: str) -> DataFrame:
