@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,11 +95,30 @@ def test_censored_fit():
     values, counts = np.unique(lengths, return_counts=True)
     mean, deviation = truncation.fit_censored(values, counts, 90)
     assert abs(mean - 4.0) < 0.03 and abs(deviation - 0.5) < 0.03
-    part = pd.DataFrame({"source": "s", "field": "f", "unit": "chars", "length": values, "n": counts})
+    part = pd.DataFrame({"source": "s", "field": "f", "han": False, "unit": "chars", "length": values, "n": counts})
     at = truncation.limit_posteriors(part)
     assert at["length"].tolist() == [90] and at["posterior"].iloc[0] > 0.9
 
 
+def test_stock_phrases_are_no_limit():
+    # A length with a hundred times as many longer values is no limit, however far it stands out.
+    part = pd.DataFrame({"source": "s", "field": "f", "han": False, "unit": "chars", "length": [7, *range(20, 120)], "n": [200, *[30] * 100]})
+    assert 7 not in truncation.limit_posteriors(part)["length"].tolist()
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_stems_stay_stems_as_the_table_grows(spark, times):
+    tails = ["the windmill every day", "the harbour every day", "the winter garden at dawn"]
+    whole = [f"Sings in {tails[i % 3]}." for i in range(60 * times)] + [f"Owner of {t}" for t in ("the windmill", "the harbour") for _ in range(20 * times)] + ["Owner of the windmill.", "Owner of the harbour."] * times
+    marked = ["She drew a w on the wall."] * times  # the stem is a word elsewhere
+    cut = ["Sings in the w"] * (6 * times) + ["Sings in the"] * times + ["Sings in the harbour ev..."] * times
+    texts = whole + marked + cut
+    frame = spark.createDataFrame([(i, "m", "rel", t) for i, t in enumerate(texts)], "rec_id long, source string, field string, text string")
+    names = spark.createDataFrame([("Wick W. Ev",)], "spelling string")
+    found = {r.rec_id for r in truncation.judge_texts(frame, names).where("cut").collect()}
+    assert found == set(range(len(whole) + len(marked), len(texts)))
+
+
 def naive_cover(words, least=2):
     covered = set()
     for i in range(len(words)):

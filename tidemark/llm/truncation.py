@@ -1,15 +1,19 @@
 """Text cut off by field limits.
 
-Two kinds of evidence are combined.
+Each unclosed text gets one score: the odds that its length was censored, times the odds that its end is no place to stop.
 
-Endings. In each sentence of the corpus, after every word, a context is counted: the sentence so far with names and numbers
-masked, its last few words, and its last words only; and how often the sentence ends there. The end of an unclosed text is looked up in
-the longest context that is frequent enough. A text that stops where sentences hardly ever stop is cut. So is one whose last word
-occurs nowhere as a whole word, that is before another word or a closing mark, or in a name.
+Endings. In each sentence of the corpus, after every word, contexts of four lengths are counted: the sentence so far with names and
+numbers masked, its last few words, its last two and its last one; and how often the sentence stops there. The share of stops at a text's end is
+estimated from the longest context to the shortest, each smoothed by the next shorter one, so no context is too rare or too
+frequent to be used. What a text itself contributes is taken off.
 
-Lengths. For each source, field and unit of length a log-normal distribution, right-censored at the candidate limit, is fitted by
-maximum likelihood (the censored part by expectation-maximisation). The posterior that a value of exactly that length was censored is one minus
-the expected uncensored count over the count found. At a limit, an end that is merely possible counts as a cut.
+Stems. A last word that after the same word (almost) never stands whole, where longer words that begin with it do, is a stem: rates
+decide, so a stem does not turn into a word because a large corpus holds it somewhere. So is a word that is nowhere whole at all.
+Open ends count as stops only where the last word is no stem.
+
+Lengths. For each source, field, script (Han or not) and unit of length a log-normal distribution, right-censored at the candidate limit, is fitted by
+maximum likelihood (the censored part by expectation-maximisation) to the lengths of the distinct texts. The posterior that a value of exactly that
+length was censored is one minus the expected uncensored count over the count found.
 
 What trails a cut (dots, blanks, replacement characters, a backslash, an open bracket) is set aside first.
 """
@@ -32,20 +36,25 @@ from tidemark.session import cut, spread
 class Limits:
     """Thresholds, alike at every size of the corpus."""
 
-    least: int = 8  #: a context counts if it occurs so often besides the text itself
-    rare_end: float = 0.1  #: contexts that end less often than this are no place to stop
-    open_end: float = 0.7  #: at a length limit, contexts that end less often than this
-    censored: float = 0.9  #: posterior from which a length counts as a limit
+    prior: float = 0.1  #: share of unclosed texts that are cut, away from the limits
+    at_limit: float = 0.5  #: and at a length whose posterior is 1
+    shorter: float = 10.0  #: weight of the next shorter context, in occurrences
+    reach: float = 0.3  #: of the values as long as a limit or longer, so many at least lie at it beyond what is expected
+    whole: float = 0.01  #: a word that stands whole less often than this share of its longer words is a stem
     first_word: float = 0.004  #: a first word of this share of the texts is no name; so at most 250 words qualify
 
 
 LIMITS = Limits()
-#: Words (or ideographs) of the two shorter contexts.
+#: Words (or ideographs) of the contexts between the whole sentence and the last word.
 SHORT, SHORT_HAN = (4, 2), (6, 3)
+#: Levels of the keys of an end: contexts from long to short, the last word, the beginnings of longer words.
+CONTEXTS, WORD, LONGER = 4, 4, 5
 
 # Chinese surnames of two characters.
 HAN_SURNAMES = "万俟 上官 东方 令狐 公冶 公孙 司徒 司空 司马 呼延 夏侯 太叔 宇文 宗政 尉迟 慕容 拓跋 欧阳 淳于 澹台 濮阳 申屠 皇甫 端木 第五 纳兰 诸葛 赫连 轩辕 钟离 长孙 闻人 独孤"
 
+HAN_NAME, OPENS, CLOSES = "\x03", "\x04", "\x05"
+
 
 class _Reader:
     """Splits texts into masked sentences; made in the worker."""
@@ -56,8 +65,8 @@ class _Reader:
         self.first_words = first_words
         self.trail = regex.compile(r"(?:\s|�|\\|\[|…|\.{2,}|\()+$")
         self.han_name = regex.compile(rf"(?:{'|'.join(HAN_SURNAMES.split())})·?\p{{Han}}{{2}}")
-        self.epithet = regex.compile(r"\b(?:[Tt]he [\p{Ll}-]+ [\p{Ll}-]+ of|l[ea] [\p{Ll}-]+(?: [\p{Ll}-]+)? de) (?=\p{Lu})")
-        self.token = regex.compile(r"\x03|\p{Han}|[\p{L}\p{M}]+(?:[’'\-][\p{L}\p{M}]+)*[’']?|\d+|[^\s\p{L}\d]")
+        self.epithet = regex.compile(r"(\b(?:[Tt]he [\p{Ll}-]+ [\p{Ll}-]+ of|l[ea] [\p{Ll}-]+(?: [\p{Ll}-]+)? de) )(?=\p{Lu})")
+        self.token = regex.compile(r"[\x03-\x05]|\p{Han}|[\p{L}\p{M}]+(?:[’'\-][\p{L}\p{M}]+)*[’']?|\d+|[^\s\p{L}\d]")
         self.end = regex.compile(r"[.!?。！？…]")
         self.closed = regex.compile(r"[.!?。！？…][\"”»’)\]」』）]*$")
         self.is_han = regex.compile(r"\p{Han}")
@@ -65,31 +74,43 @@ class _Reader:
     def core(self, text: str) -> str:
         return self.trail.sub("", text)
 
-    def sentences(self, core: str) -> list[list[str]]:
-        found, current = [], []
-        for token in self.token.findall(self.epithet.sub("", self.han_name.sub("\x03", core))):
-            if self.end.match(token):
-                if current:
-                    found.append(current)
-                current = []
-            else:
-                current.append(token)
-        return [*found, current] if current else found
-
-    def mask(self, tokens: list[str]) -> list[str]:
-        out: list[str] = []
-        for i, token in enumerate(tokens):
-            if token == "\x03" or token[0].isupper() and (i > 0 or token not in self.first_words):
-                if not out or out[-1] != "N":
-                    out.append("N")
+    def sentences(self, core: str) -> list[list[tuple[str, str, tuple[str, ...]]]]:
+        """Each sentence as (word, masked word before, keys of its contexts, from long to short) after each of its words.
+
+        A name takes the place of the epithet before it ("the tall clerk of Wick"), whose own words have contexts too.
+        """
+        found: list[list[tuple[str, str, tuple[str, ...]]]] = []
+        steps: list[tuple[str, str, tuple[str, ...]]] = []
+        masked: list[str] = []
+        kept, words = 0, 0
+        marked = self.epithet.sub(rf"{OPENS}\1{CLOSES}", self.han_name.sub(HAN_NAME, core))
+        for token in self.token.findall(marked):
+            if token == OPENS:
+                kept = len(masked)
+            elif token == CLOSES:
+                del masked[kept:]
+            elif self.end.match(token):
+                if steps:
+                    found.append(steps)
+                steps, masked, kept, words = [], [], 0, 0
             else:
-                out.append("0" if token[0].isdigit() else token.lower())
-        return out
+                before = masked[-1] if masked else ""
+                if token == HAN_NAME or token[0].isupper() and (words > 0 or token not in self.first_words):
+                    if before != "N":
+                        masked.append("N")
+                else:
+                    masked.append("0" if token[0].isdigit() else token.lower())
+                words += 1
+                steps.append((token, before, self.contexts(masked)))
+        return [*found, steps] if steps else found
 
-    def contexts(self, masked: list[str], i: int) -> tuple[str, str, str]:
-        """Keys of the three contexts that end with word i."""
-        long, short = SHORT_HAN if any(self.is_han.match(w) for w in masked[max(0, i - 1) : i + 1]) else SHORT
-        return "0" + "\t".join(masked[: i + 1]), "1" + "\t".join(masked[max(0, i + 1 - long) : i + 1]), "2" + "\t".join(masked[max(0, i + 1 - short) : i + 1])
+    def contexts(self, masked: list[str]) -> tuple[str, str, str, str]:
+        """Keys of the contexts that end with the last word."""
+        long, short = SHORT_HAN if self.is_han.match(masked[-1]) or len(masked) > 1 and self.is_han.match(masked[-2]) else SHORT
+        return "0" + "\t".join(masked), "1" + "\t".join(masked[-long:]), "2" + "\t".join(masked[-short:]), "3" + masked[-1]
+
+    def is_word(self, token: str) -> bool:
+        return token[0].isalpha() and not self.is_han.match(token)
 
 
 def _key(text: str) -> int:
@@ -99,35 +120,43 @@ def _key(text: str) -> int:
 
 
 def _counts(texts: DataFrame, first_words: set[str]) -> DataFrame:
-    """key, n, ends of every context, ends at a closing mark only, and of every whole word (as "w" + word); rows of the field "" are names, which only give words."""
+    """key, n, ends: of every context, how often it occurs and how often its sentence is closed there; n of every whole word ("w" + word) and of the beginnings of
+    longer words after a word ("p" + word before + beginning). The open end of a text counts nowhere. Rows of the field "" are names, which only give words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, n, ends = _Reader(first_words), {}, {}
+        reader = _Reader(first_words)
+        n: dict[str, int] = {}
+        ends: dict[str, int] = {}
+        pairs: dict[tuple[str, str], int] = {}
 
         def flush() -> pd.DataFrame:
+            for (before, word), times in pairs.items():
+                for i in range(1, len(word)):
+                    key = f"p{before}\t{word[:i]}"
+                    n[key] = n.get(key, 0) + times
             out = pd.DataFrame({"key": [_key(k) for k in n], "n": list(n.values()), "ends": [ends.get(k, 0) for k in n]})
-            n.clear(), ends.clear()
+            n.clear(), ends.clear(), pairs.clear()
             return out
 
         for batch in batches:
             for field, text in zip(batch["field"], batch["text"]):
                 if not field:
                     for token in reader.token.findall(text):
-                        n["w" + token.casefold()] = n.get("w" + token.casefold(), 0) + 1
+                        n["w" + token] = n.get("w" + token, 0) + 1
                     continue
                 core = reader.core(text)
                 sentences = reader.sentences(core)
-                for k, tokens in enumerate(sentences):
+                for k, steps in enumerate(sentences):
                     unclosed = k == len(sentences) - 1 and not reader.closed.search(core)
-                    for token in tokens[:-1] if unclosed else tokens:
-                        n["w" + token.casefold()] = n.get("w" + token.casefold(), 0) + 1
-                    masked = reader.mask(tokens)
-                    for i in range(len(masked)):
-                        for key in reader.contexts(masked, i):
+                    for token, before, keys in steps[:-1] if unclosed else steps:
+                        n["w" + token] = n.get("w" + token, 0) + 1
+                        for key in keys:
                             n[key] = n.get(key, 0) + 1
-                    for key in () if unclosed else reader.contexts(masked, len(masked) - 1):
+                        if reader.is_word(token):
+                            pairs[before, token] = pairs.get((before, token), 0) + 1
+                    for key in () if unclosed else steps[-1][2]:
                         ends[key] = ends.get(key, 0) + 1
-            if len(n) > 400_000:
+            if len(n) + len(pairs) > 400_000:
                 yield flush()
         yield flush()
 
@@ -135,7 +164,7 @@ def _counts(texts: DataFrame, first_words: set[str]) -> DataFrame:
 
 
 def _endings(texts: DataFrame, first_words: set[str]) -> DataFrame:
-    """rec_id, level, key for the end of every text that is not closed: three contexts and, as level 3, the last word (key null if it is no word)."""
+    """rec_id, level, key for the end of every text that is not closed: its contexts and, where the last word is made of letters, the keys of the word and of longer words."""
 
     def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(first_words)
@@ -145,33 +174,45 @@ def _endings(texts: DataFrame, first_words: set[str]) -> DataFrame:
                 core = reader.core(text)
                 sentences = [] if reader.closed.search(core) else reader.sentences(core)
                 if sentences:
-                    masked, last = reader.mask(sentences[-1]), sentences[-1][-1]
-                    rows += [(rec, level, _key(key)) for level, key in enumerate(reader.contexts(masked, len(masked) - 1))]
-                    if last[0].isalpha() and not reader.is_han.match(last):
-                        rows.append((rec, 3, _key("w" + last.casefold())))
+                    word, before, keys = sentences[-1][-1]
+                    rows += [(rec, level, _key(key)) for level, key in enumerate(keys)]
+                    if reader.is_word(word):
+                        rows += [(rec, WORD, _key("w" + word)), (rec, LONGER, _key(f"p{before}\t{word}"))]
             yield pd.DataFrame(rows, columns=["rec_id", "level", "key"]).astype({"rec_id": "int64", "level": "int32", "key": "int64"})
 
     return texts.mapInPandas(end, "rec_id long, level int, key long")
 
 
-def _looked_up(asked: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rec_id, level, key, n, ends of the asked contexts; and the rec_id of the texts whose last word occurs nowhere as a whole word.
-
-    The ends of unclosed texts count where their last word is whole, so that names cut in two make no context look like an end. Keys that many
-    texts ask for are joined by broadcast: each has a thousandth of all rows or more, so there are at most 1,000.
-    """
-    words = asked.where("level = 3")
-    missing = words.select("key").distinct().join(counts, "key", "left_anti")
-    unknown = cut(words.join(missing, "key", "left_semi").select("rec_id").distinct())
-    contexts = asked.where("level < 3")
-    open_ends = contexts.join(unknown, "rec_id", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("open"))
-    total = contexts.count()
-    found = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).join(counts, "key").join(open_ends, "key", "left")
-    found = cut(found.select("key", "uses", "n", (F.col("ends") + F.coalesce("open", F.lit(0))).alias("ends")))
-    hot = found.where(F.col("uses") > max(1000, total // 1000)).select("key", F.col("n").alias("hot_n"), F.col("ends").alias("hot_ends"))
-    first = contexts.join(F.broadcast(hot), "key", "left")
-    rest = first.where("hot_n is null").drop("hot_n", "hot_ends").join(found.select("key", "n", "ends"), "key", "left")
-    return rest.unionByName(first.where("hot_n is not null").withColumnRenamed("hot_n", "n").withColumnRenamed("hot_ends", "ends")), unknown
+def _with(asked: DataFrame, table: DataFrame, uses: DataFrame, total: int, *columns: str) -> DataFrame:
+    """asked with columns of the table by key (0 where it has none). Keys that many texts ask for are joined by broadcast: each has a thousandth of all
+    rows or more, so there are at most 1,000."""
+    hot = table.join(uses.where(F.col("uses") > max(1000, total // 1000)).select("key"), "key", "left_semi").select("key", *(F.col(c).alias(f"hot_{c}") for c in columns), F.lit(True).alias("hot"))
+    first = asked.join(F.broadcast(hot), "key", "left")
+    rest = first.where("hot is null").select(*asked.columns).join(table.select("key", *columns), "key", "left")
+    both = rest.unionByName(first.where("hot").select(*asked.columns, *(F.col(f"hot_{c}").alias(c) for c in columns)))
+    return both.na.fill(0, list(columns))
+
+
+def _ends(asked: DataFrame, counts: DataFrame, limits: Limits) -> DataFrame:
+    """rec_id, stem, stops of every unclosed text: whether its last word is a stem, and the smoothed share of stops at its end."""
+    uses = cut(asked.groupBy("key").agg(F.count(F.lit(1)).alias("uses")))
+    total = uses.agg(F.sum("uses")).first()[0] or 0
+    counts = cut(counts.join(uses.select("key"), "key", "left_semi"))
+    at = lambda level, c: F.max(F.when(F.col("level") == level, F.col(c)))
+    known = cut(_with(asked, counts, uses, total, "n", "ends"))
+    judged = known.groupBy("rec_id").agg(at(2, "n").alias("here"), at(WORD, "n").alias("word"), at(LONGER, "n").alias("longer"))
+    stems = judged.select("rec_id", (F.coalesce(F.col("word") == 0, F.lit(False)) | F.coalesce((F.col("longer") > 0) & (F.col("here") < limits.whole * F.col("longer")), F.lit(False))).alias("stem"))
+    flagged = cut(known.where(F.col("level") < CONTEXTS).join(stems, "rec_id"))
+    opens = flagged.groupBy("key").agg(F.count(F.when(~F.col("stem"), 1)).alias("open"))
+    rows = _with(flagged, opens, uses, total, "open")
+    one = rows.groupBy("rec_id").agg(F.first("stem").alias("stem"), F.map_from_entries(F.collect_list(F.struct("level", F.struct("n", "ends", "open")))).alias("m"))
+    stops = F.lit(0.5)
+    for level in reversed(range(CONTEXTS)):  # the text itself is one of the open ends
+        own = F.col("m")[level]
+        others = F.greatest(own["open"] - 1, F.lit(0))
+        weight = limits.shorter if level < CONTEXTS - 1 else 1.0
+        stops = (own["ends"] + others + weight * stops) / (own["n"] + others + weight)
+    return one.select("rec_id", "stem", stops.alias("stops"))
 
 
 def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: int, rounds: int = 30) -> tuple[float, float]:
@@ -192,8 +233,11 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: int, rounds: in
     return mean, deviation
 
 
-def limit_posteriors(part: pd.DataFrame) -> pd.DataFrame:
-    """For one source, field and unit (length, n): the posterior that values of a length were censored there, for the lengths that stand out."""
+def limit_posteriors(part: pd.DataFrame, reach: float = LIMITS.reach) -> pd.DataFrame:
+    """For one source, field, script and unit (length, n): the posterior that values of a length were censored there, for the lengths that stand out.
+
+    A limit leaves few longer values: a length counts only if the values in excess of the expected are at least the share ``reach`` of them and the longer ones.
+    """
     part = part.sort_values("length")
     lengths, counts = part["length"].to_numpy(), part["n"].to_numpy()
     near = [(counts[(np.abs(lengths - v) <= 5) & (lengths != v)].sum()) / 10 for v in lengths]
@@ -203,9 +247,11 @@ def limit_posteriors(part: pd.DataFrame) -> pd.DataFrame:
             mean, deviation = fit_censored(lengths, counts, int(v))
             density = math.exp(-(((math.log(v) - mean) / deviation) ** 2) / 2) / (deviation * v * math.sqrt(2 * math.pi))
             expected = max(beside, counts.sum() * density)
-            rows.append((int(v), max(0.0, 1 - expected / n)))
-    own = part[["source", "field", "unit"]].iloc[0]
-    return pd.DataFrame({"source": own["source"], "field": own["field"], "unit": own["unit"], "length": [r[0] for r in rows], "posterior": [r[1] for r in rows]}).astype({"length": "int64", "posterior": "float64"})
+            if n - expected >= reach * (n - expected + counts[lengths > v].sum()):
+                rows.append((int(v), max(0.0, 1 - expected / n)))
+    own = part[["source", "field", "han", "unit"]].iloc[0]
+    out = pd.DataFrame({"length": [r[0] for r in rows], "posterior": [r[1] for r in rows]}).astype({"length": "int64", "posterior": "float64"})
+    return out.assign(**own)[["source", "field", "han", "unit", "length", "posterior"]]
 
 
 def judge_texts(texts: DataFrame, names: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -222,21 +268,18 @@ def judge_texts(texts: DataFrame, names: DataFrame, limits: Limits = LIMITS) ->
     first_words = {row.w for row in first.where(F.col("n") >= max(2, limits.first_word * total)).collect()}
     spelled = names.where("spelling is not null").select(F.lit("").alias("field"), F.col("spelling").alias("text"))
     counts = _counts(texts.select("field", "text").unionByName(spelled), first_words)
-    rows, unknown = _looked_up(cut(_endings(texts.select("rec_id", "text"), first_words).distinct()), counts)
-    # One row per unclosed text: the longest frequent context, without the text itself.
-    share = (F.col("ends") - 1 + 0.02) / F.col("n")
-    frequent = F.col("n") - 1 >= limits.least
-    ends = rows.groupBy("rec_id").agg(F.min_by(F.when(frequent, share), F.when(frequent, F.col("level"))).alias("end_share"))
-    ends = ends.join(unknown.withColumn("unknown_word", F.lit(True)), "rec_id", "left")
+    ends = _ends(cut(_endings(texts.select("rec_id", "text"), first_words).distinct()), counts, limits)
     measures = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").cast("long").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").cast("long").alias("length"))))
-    sized = texts.select("rec_id", "source", "field", measures.alias("m")).select("rec_id", "source", "field", "m.*")
-    histogram = sized.groupBy("source", "field", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
-    at = histogram.groupBy("source", "field", "unit").applyInPandas(limit_posteriors, "source string, field string, unit string, length long, posterior double").where(F.col("posterior") >= limits.censored)
-    limited = sized.join(at, ["source", "field", "unit", "length"], "left_semi").select("rec_id").distinct().withColumn("at_limit", F.lit(True))
-    joined = texts.select("rec_id", "source").distinct().join(ends.withColumn("unclosed", F.lit(True)), "rec_id", "left").join(limited, "rec_id", "left")
-    bound = F.when(F.coalesce("at_limit", F.lit(False)), limits.open_end).otherwise(limits.rare_end)
-    stopped = F.coalesce("unclosed", F.lit(False)) & (F.coalesce("unknown_word", F.lit(False)) | (F.coalesce("end_share", F.lit(0.0)) < bound))
-    return joined.select("rec_id", F.when(F.col("source") != "\x00", F.col("source")).alias("source"), stopped.alias("cut"))
+    own = ["source", "field", "han"]
+    sized = texts.select("rec_id", "source", "field", F.col("text").rlike(r"\p{IsHan}").alias("han"), F.xxhash64("text").alias("h"), measures.alias("m")).select("rec_id", *own, "h", "m.*")
+    # A stock phrase that comes again and again is no limit: each distinct text counts once.
+    histogram = sized.groupBy(*own, "unit", "length").agg(F.countDistinct("h").alias("n"))
+    at = histogram.groupBy(*own, "unit").applyInPandas(lambda part: limit_posteriors(part, limits.reach), "source string, field string, han boolean, unit string, length long, posterior double")
+    censored = sized.join(at, [*own, "unit", "length"]).groupBy("rec_id").agg(F.max("posterior").alias("posterior"))
+    joined = texts.select("rec_id", "source").distinct().join(ends, "rec_id", "left").join(censored, "rec_id", "left")
+    prior = limits.prior + (limits.at_limit - limits.prior) * F.coalesce("posterior", F.lit(0.0))
+    odds = prior / (1 - prior) * (1 - F.col("stops")) / F.greatest("stops", F.lit(1e-9))
+    return joined.select("rec_id", F.when(F.col("source") != "\x00", F.col("source")).alias("source"), (F.coalesce("stem", F.lit(False)) | F.coalesce(odds > 1, F.lit(False))).alias("cut"))
 
 
 def rates(judged: DataFrame) -> DataFrame:
