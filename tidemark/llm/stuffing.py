@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import spread
+from tidemark.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,10 @@ class _Text:
             total, found = total + len(run), found + len(places)
         return total, found
 
+    def evidence(self, text: str, cues: set[str]) -> bool:
+        """Whether any link, tag or fragment word occurs; the words of the parts are among those of the whole text."""
+        return bool(self.tag.search(text) or self.link.search(text)) or not cues.isdisjoint(self.cue_words(text))
+
     def size(self, part: str) -> int:
         """Characters of a part; an ideograph counts as two, a link or tag as a fixed length."""
         return len(part) + sum(map(len, self.han.findall(part))) + 24 * (part.count(LINK) + part.count(TAG))
@@ -185,10 +189,15 @@ def keyed_cover(parts: list[str], cues: set[str], limits: Limits = LIMITS) -> fl
 
 
 def judge_text(text: str | None, cues: set[str], limits: Limits = LIMITS) -> tuple[bool, float, float, float]:
-    """stuffed, clause share, share of fragments with a link, tag or fragment word, covered share; null, empty and blank texts are no case."""
+    """stuffed, clause share, share of fragments with a link, tag or fragment word, covered share; null, empty and blank texts are no case.
+
+    A page without any link, tag or fragment word cannot be stuffed by any rule below; it is not taken apart, and its shares are 0.
+    """
     if not text or not text.strip():
         return False, 0.0, 0.0, 0.0
     t = _text()
+    if not t.evidence(text, cues):
+        return False, 0.0, 0.0, 0.0
     sentences, fragments = t.parts(text)
     rest, whole = sum(map(t.size, fragments)), sum(map(t.size, sentences))
     clauses = whole / max(1, rest + whole)
@@ -239,19 +248,13 @@ def fragment_words(docs: DataFrame, limits: Limits = LIMITS) -> set[str]:
 
     distinct = docs.where(F.trim("text") != "").select("text", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g")).dropDuplicates(["_h", "_g"]).select("text")
     counts = distinct.mapInPandas(count, "word string, inside long, outside long").groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    counts = counts.where(f"word = '' or outside >= {limits.least_texts} and inside < {limits.sentence_use} * (inside + outside)")
+    counts = cut(counts.where(f"word = '' or outside >= {limits.least_texts} and inside < {limits.sentence_use} * (inside + outside)"))
     # The number of texts comes as the row of the empty word, so one pass serves both.
-    ranked = counts.withColumn("_n", F.max(F.when(F.col("word") == "", F.col("inside"))).over(_everything()))
-    rows = ranked.where(f"word <> '' and outside >= {limits.least_text_share} * _n").select("word").collect()
+    texts = counts.where("word = ''").agg(F.sum("inside")).first()[0] or 0
+    rows = counts.where((F.col("word") != "") & (F.col("outside") >= limits.least_text_share * texts)).select("word").collect()
     return {row.word for row in rows} - {LINK, TAG}
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def judge(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """doc_id, stuffed, clauses, fragments, covered of every document (doc_id, text; other columns are ignored).
 
