@@ -92,6 +92,11 @@ def test_variants_link_and_relatives_do_not(spark):
     assert entities(spark, rows) == {("1", "2"), ("1", "3"), ("2", "3"), ("1", "4"), ("2", "4"), ("3", "4"), ("6", "7"), ("C", "D")}
 
 
+def test_organisations_of_unseen_trades(spark):
+    rows = [("b", "1", "Guild of Foamoleden Cartwrights"), ("b", "2", "Foamoleden Cartwrights' Gld."), ("b", "3", "The Cartwrights Guild of Stonby"), ("b", "4", "Guild of Stonby Cartwrights"), ("b", "5", "Hosp. of Foamoleden"), ("b", "6", "Foamoleden Hospital"), ("c", "7", "Cartwrights Guild of Wick")]
+    assert entities(spark, rows) == {("1", "2"), ("3", "4"), ("5", "6")}
+
+
 def test_han_names(spark):
     rows = [("b", "1", "轩辕静凤"), ("b", "2", "軒轅靜鳳"), ("b", "3", "Jingfeng Xuanyuan"), ("b", "4", "轩辕静奉先生"), ("b", "5", "轩辕静书")]
     assert entities(spark, rows) == {(x, y) for x in "1234" for y in "1234" if x < y}

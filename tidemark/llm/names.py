@@ -34,10 +34,13 @@ ARTICLES = "the le la les un une der die das old young"
 #: Surnames of two characters with their readings, which are not always those of the characters; then forms in traditional characters whose readings are not.
 READINGS = "万俟 moqi 上官 shangguan 东方 dongfang 令狐 linghu 公冶 gongye 公孙 gongsun 司徒 situ 司空 sikong 司马 sima 呼延 huyan 夏侯 xiahou 太叔 taishu 宇文 yuwen 宗政 zongzheng 尉迟 yuchi 慕容 murong 拓跋 tuoba 欧阳 ouyang 淳于 chunyu 澹台 tantai 濮阳 puyang 申屠 shentu 皇甫 huangfu 端木 duanmu 第五 diwu 纳兰 nalan 诸葛 zhuge 赫连 helian 轩辕 xuanyuan 钟离 zhongli 长孙 zhangsun 闻人 wenren 独孤 dugu 单于 chanyu 鲜于 xianyu"
 READINGS += " 萬俟 moqi 尉遲 yuchi 澹臺 tantai 長孫 zhangsun 單于 chanyu 鮮于 xianyu"
-#: Words of organisations, with their abbreviations; "-" marks words that say nothing.
-ORGANISATIONS = "company co,comp,cie,compagnie university univ,université order ord,ordre guild gld,guilde savings svgs bank bk,banque shipping shpg trading trdg,trad sons fils lamplighters lmplrs society soc,société brothers bros academy acad institute inst association assn,assoc museum mus college coll hospital hosp theatre théâtre library lib"
+#: Words that tell kinds of organisations, and the French ones by their English ones. Abbreviations follow a rule, see Parser.abbreviates.
+ORGANISATIONS = "company university order guild bank society brothers sons academy institute association museum college hospital theatre library savings shipping trading"
+ORGANISATIONS_FRENCH = "compagnie company cie company université university ordre order guilde guild banque bank société society fils sons théâtre theatre"
 ORGANISATION_FILLERS = "the of and & + limited ltd le la les des de du et s"
 ELDER, YOUNGER = "elder aîné ancien sr senior", "younger jeune cadet jr junior"
+#: Between the words of an organisation that may be its head.
+HEADS = "\x02"
 #: Letters from which a word may have a letter left out, and of the short forms of a given name.
 LEAST_FUZZY, SHORT_FORMS = 5, (2, 3, 4, 5)
 
@@ -56,22 +59,25 @@ class Parser:
         self.regex, self.pinyin = regex, pinyin
         self.titles, self.articles = {_plain(t) for t in TITLES.split()}, set(ARTICLES.split())
         self.fillers = {f for f in ORGANISATION_FILLERS.split()}
-        self.organisation: dict[str, str] = {}
-        words = ORGANISATIONS.split()
-        for word in words:  # a full word, or the list of abbreviations of the word before
-            if word in self._heads(words):
-                head = word
-                self.organisation[_plain(word)] = head
-            else:
-                self.organisation |= {_plain(w): head for w in word.split(",")}
+        french = ORGANISATIONS_FRENCH.split()
+        self.organisation = {word: word for word in ORGANISATIONS.split()} | {_plain(w): head for w, head in zip(french[::2], french[1::2])}
         self.readings = dict(zip(READINGS.split()[::2], READINGS.split()[1::2]))
         self.romanised = set(self.readings.values())
         self.han = regex.compile(r"\p{Han}")
         self.joint = regex.compile(r"(?<=\p{Ll}\p{Ll})(?=\p{Lu}\p{Ll})")
 
-    @staticmethod
-    def _heads(words: list[str]) -> set[str]:
-        return {"company", "university", "order", "guild", "savings", "bank", "shipping", "trading", "sons", "lamplighters", "society", "brothers", "academy", "institute", "association", "museum", "college", "hospital", "theatre", "library"}
+    def skeleton(self, word: str) -> bool:
+        """Whether a word has no vowel after its first letter, as abbreviations by omission have (Svgs, Gld)."""
+        return len(word) > 1 and not self.regex.search(r"[aeiouy]", word[1:])
+
+    def abbreviates(self, short: str, full: str) -> bool:
+        """Beginnings of three letters or more (Univ, Ord; also Co, which is too common to miss), and skeletons whose letters follow each other in the full word from its first letter on (Shpg)."""
+        if short[0] != full[0] or len(short) >= len(full):
+            return False
+        if full.startswith(short) and (len(short) > 2 or short == "co"):
+            return True
+        letters = iter(full)
+        return self.skeleton(short) and all(c in letters for c in short)
 
     def read_han(self, text: str) -> str:
         return self.readings.get(text) or "".join(self.pinyin.get(c, c) for c in text)
@@ -79,6 +85,7 @@ class Parser:
     def parse(self, spelling: str | None) -> tuple[str, str, str, str] | None:
         """kind, x, y, extra of a spelling, or None where it is no evidence.
 
+        Of organisations x holds every word that may be the head; see _with_heads.
         full: two words of a person's name in unknown order (extra: e or y for the Elder and the Younger); exact: the same, and the words
         are compared without tolerance; given: given name x and surname y; initial: initial x and surname y; organisation: head word x, kind of organisation y.
         """
@@ -90,17 +97,22 @@ class Parser:
         kinds = [self._organisation(w) for w in words]
         if any(kinds) and len(words) > 1:
             heads = [_plain(w) for w, k in zip(words, kinds) if not k and w.casefold().strip(".'") not in self.fillers]
-            return ("organisation", max(heads, key=len), " ".join(sorted({k for k in kinds if k})), "") if heads else None
+            heads = [w for w in heads if w and not self.skeleton(w)] or [w for w in heads if w]
+            return ("organisation", HEADS.join(heads), " ".join(sorted({k for k in kinds if k})), "") if heads else None
         return self._person(text)
 
     def _organisation(self, word: str) -> str | None:
         plain = _plain(word)
         if plain in self.organisation:
             return self.organisation[plain]
-        if len(plain) >= 6:  # one letter wrong in a long word
-            for full, head in self.organisation.items():
-                if len(full) >= 6 and abs(len(full) - len(plain)) <= 1 and full[0] == plain[0] and not _variants(full).isdisjoint(_variants(plain)):
-                    return head
+        if len(plain) < 2 or plain in self.fillers or plain in self.articles or plain in self.titles or plain in self.romanised:
+            return None
+        for full, head in self.organisation.items():
+            if self.abbreviates(plain, full):
+                return head
+            # One letter wrong in a long word.
+            if len(plain) >= 6 <= len(full) and abs(len(full) - len(plain)) <= 1 and full[0] == plain[0] and not _variants(full).isdisjoint(_variants(plain)):
+                return head
         return None
 
     def _han(self, text: str) -> tuple[str, str, str, str] | None:
@@ -156,13 +168,21 @@ def _stem(given: str) -> str | None:
 
 
 def pinyin_table(df: DataFrame) -> dict[str, str]:
-    """Toneless pinyin of the unified ideographs, by the rules of the transliterator that Spark ships; a table of fixed size. Empty where it is missing: then Han names are compared by characters."""
+    """Toneless pinyin of the unified ideographs, by the rules of the transliterator that Spark ships; a table of fixed size. Raises where the class is missing, as Han variants would be lost."""
     points = "".join(f"{chr(c)}\n" for c in range(0x4E00, 0xA000))
-    try:
-        rules = df.sparkSession._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin; Latin-ASCII; Lower")
-        return {chr(0x4E00 + i): p for i, p in enumerate(rules.transliterate(points).split("\n")[:-1])}
-    except Exception:  # noqa: BLE001  no such class or no gateway
-        return {}
+    rules = df.sparkSession._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin; Latin-ASCII; Lower")
+    return {chr(0x4E00 + i): p for i, p in enumerate(rules.transliterate(points).split("\n")[:-1])}
+
+
+def _with_heads(parsed: DataFrame) -> DataFrame:
+    """Organisations with one head word: of a name's words the one that the fewest entities share, so that trades (Lamplighters) are none; of equals the longest."""
+    many = parsed.where((F.col("kind") == "organisation") & F.col("x").contains(HEADS))
+    every = parsed.where("kind = 'organisation'").select("scope", "entity", F.explode(F.split("x", HEADS)).alias("word")).distinct()
+    shared = every.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = many.select("scope", "entity", "x", "y", F.explode(F.split("x", HEADS)).alias("word")).join(shared, "word")
+    chosen = words.groupBy("scope", "entity", "x", "y").agg(F.min(F.struct("n", -F.length("word"), "word"))["word"].alias("x1"))
+    rest = parsed.where(~((F.col("kind") == "organisation") & F.col("x").contains(HEADS)))
+    return rest.unionByName(chosen.select("scope", "entity", F.lit("organisation").alias("kind"), F.col("x1").alias("x"), "y", F.lit("").alias("extra"))).distinct()
 
 
 def _parsed(spellings: DataFrame) -> DataFrame:
@@ -212,7 +232,7 @@ def resolve(spellings: DataFrame, nicknames: DataFrame) -> DataFrame:
     spellings = spellings.join(spellings.where("introduces").select("scope", "entity").distinct(), ["scope", "entity"], "left_semi")
     plain = F.udf(lambda s: _plain(s) if s else None, "string")
     nick = nicknames.where("formal is not null and nickname is not null").select(plain("formal").alias("formal"), plain("nickname").alias("nickname")).distinct()
-    parsed = cut(_parsed(spellings))
+    parsed = cut(_with_heads(cut(_parsed(spellings))))
     classes = cut(_word_classes(parsed, nick))
     rows = parsed.withColumn("node", F.concat_ws("\x00", "scope", "entity"))
     as_class = lambda name: classes.select("scope", F.col("word").alias(name), F.col("class").alias(f"c{name}"))
