@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import spread
+from tidemark.session import cut, spread
 
-# Letters that share a glyph with a Latin letter, script by script.
+# Letters that share a glyph with a Latin letter, script by script: the pairs of the public confusables data that no reader can tell apart.
 LATIN_OF_CYRILLIC = ("АВСЕԌНІЈКМОРԚЅТѴԜХУаԁсеһіјӏорԛѕѵԝху", "ABCEGHIJKMOPQSTVWXYadcehijlopqsvwxy")
 LATIN_OF_GREEK = ("ΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖαϲιϳνορυ", "ABCEHIJKMNOPTXYZacijvopu")
 LATIN_OF_ARMENIAN = ("ՍՏՕհոսզօ", "USOhnuqo")
@@ -149,8 +149,14 @@ def look_alikes(passages: DataFrame) -> DataFrame:
     """
     group = ["book_id", "t", "f"]
     hashed = with_form(passages.select("rec_id", "book_id", "t", "text").where("text is not null and book_id is not null"))
-    hashed = hashed.select("rec_id", "book_id", "t", _hash("form").alias("f"), _hash("text").alias("s")).distinct()
-    mixed = hashed.groupBy(*group).agg(F.min("s").alias("_a"), F.max("s").alias("_b")).where("_a <> _b").select(*group)
-    some = hashed.join(mixed, group)
-    left, right = some.withColumnRenamed("rec_id", "rec_a").withColumnRenamed("s", "_sa"), some.withColumnRenamed("rec_id", "rec_b").withColumnRenamed("s", "_sb")
-    return left.join(right, group).where("rec_a < rec_b and _sa <> _sb").select("rec_a", "rec_b").distinct()
+    # Written once, as three steps read it.
+    hashed = cut(hashed.select("rec_id", "book_id", "t", _hash("form").alias("f"), _hash("text").alias("s")).distinct())
+    # Distinct spellings are paired first, so that records of one spelling never meet each other.
+    spellings = hashed.select(*group, "s").distinct()
+    mixed = spellings.groupBy(*group).agg(F.min("s").alias("_a"), F.max("s").alias("_b")).where("_a <> _b").select(*group)
+    some = cut(hashed.join(mixed, group))
+    several = some.select(*group, "s").distinct()
+    pairs = several.withColumnRenamed("s", "_sa").join(several.withColumnRenamed("s", "_sb"), group).where("_sa < _sb")
+    left, right = (some.select(*group, F.col("rec_id").alias(f"_r{x}"), F.col("s").alias(f"_s{x}")) for x in "ab")
+    both = pairs.join(left, [*group, "_sa"]).join(right, [*group, "_sb"]).where("_ra <> _rb")
+    return both.select(F.least("_ra", "_rb").alias("rec_a"), F.greatest("_ra", "_rb").alias("rec_b")).distinct()
