@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 #: Positions in a stretch. The rows of one entity in one stretch are sorted together, so this bounds a task.
 STRETCH = 1 << 15
 #: Copies of an entity's key list, over which the events of a hot entity are spread.
@@ -71,6 +73,7 @@ def attributes_as_of(events: DataFrame, attrs: DataFrame, stretch: int = STRETCH
     narrow = attrs.select(*own, "p", F.lit(0).alias("side"), "ord", F.col("attr_rec").alias("rec"), F.lit(1).alias("change")).unionByName(
         asked.select(*own, "p", F.lit(1).alias("side"), F.lit(None).cast("long").alias("ord"), F.col("event_rec").alias("rec"), F.lit(0).alias("change"))
     )
-    placed = cumulative_versions(narrow, own, "p", ["side", "ord", "rec"], "change", stretch)
+    # Written once: both sides of the join read it.
+    placed = cut(cumulative_versions(narrow, own, "p", ["side", "ord", "rec"], "change", stretch).select("side", *own, "version", "rec"))
     changes = placed.where("side = 0").select(*own, "version", F.col("rec").alias("attr_rec"))
     return placed.where("side = 1").select(*own, "version", F.col("rec").alias("event_rec")).join(changes, [*own, "version"]).select("event_rec", "scope", "entity", "key", "attr_rec")
