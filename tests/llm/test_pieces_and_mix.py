@@ -72,9 +72,13 @@ def test_fit_counts_reaches_what_can_be_reached():
     for _ in range(200):
         counts = {rnd.randint(1, 40): rnd.randint(1, 6) for _ in range(rnd.randint(1, 8))}
         budget = rnd.randint(0, sum(n * c for n, c in counts.items()))
-        take = fit_counts(counts, budget)
+        take = fit_counts(counts, budget, rnd.choice([1, 7, 30, 20_000]))
         assert all(0 < take[n] <= counts[n] for n in take)
-        assert abs(sum(n * c for n, c in take.items()) - budget) <= max(counts)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        # However small the first programme, nothing comes nearer.
+        assert abs(sum(n * c for n, c in take.items()) - budget) == min(abs(s - budget) for s in sums)
 
 
 def test_mix(spark):

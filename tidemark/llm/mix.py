@@ -17,29 +17,43 @@ from tidemark.llm.encode import count_column
 from tidemark.operators.asof import cumulative_versions
 from tidemark.session import cut
 
-#: Budget that is left to the dynamic programme; above it, lengths are taken in proportion to their counts.
-EXACT = 20_000
+#: Budget of the first programme. Where it does not meet the budget exactly, it is doubled, up to the whole budget.
+FIRST = 20_000
 SEED = 17
 
 
-def fit_counts(counts: dict[int, int], budget: int, exact: int = EXACT) -> dict[int, int]:
-    """How many of each length to take, so that the sum is as near to the budget as the programme finds.
+def fit_counts(counts: dict[int, int], budget: int, first: int = FIRST) -> dict[int, int]:
+    """How many of each length to take, so that the sum is as near to the budget as can be (of two equally near sums the smaller).
 
     counts: documents by length (lengths and counts above 0). A budget of 0 or less takes none; one at or above the sum takes all.
+    Lengths are first taken in proportion and the programme fits what is left. A sum that meets the budget cannot be bettered; where none is found,
+    the programme gets twice as much of the budget to fit, in the end all of it, so the result is exact at any size.
     """
     whole = sum(n * c for n, c in counts.items())
     if budget <= 0:
         return {}
     if budget >= whole:
         return dict(counts)
-    take = {n: int(c * budget // whole) for n, c in counts.items()}
-    left = budget - sum(n * c for n, c in take.items())
-    for n in sorted(counts, reverse=True):  # bring what the rounding left within reach of the programme
-        if left > exact:
-            more = min(counts[n] - take[n], (left - exact) // n)
-            take[n] += more
-            left -= n * more
-    # Bounded knapsack over bits: bit s of reach[i] says that the first i packs can add up to s. Counts are packed in powers of two.
+    room = first
+    while True:
+        take = {n: int(c * max(0, budget - room) // whole) for n, c in counts.items()}
+        left = budget - sum(n * c for n, c in take.items())
+        for n in sorted(counts, reverse=True):  # bring what the rounding left within reach of the programme
+            if left > room:
+                more = min(counts[n] - take[n], (left - room) // n)
+                take[n] += more
+                left -= n * more
+        missed = _fit(counts, take, left)
+        if not missed or room >= budget:
+            return {n: c for n, c in take.items() if c}
+        room *= 2
+
+
+def _fit(counts: dict[int, int], take: dict[int, int], left: int) -> int:
+    """Bounded knapsack over bits: adds to ``take`` what comes nearest to the rest of the budget; returns by how much it misses.
+
+    Bit s of reach[i] says that the first i packs can add up to s. Counts are packed in powers of two.
+    """
     bound, packs = left + max(counts), []
     for n in sorted(counts):
         room, size = min(counts[n] - take[n], bound // n), 1
@@ -56,12 +70,13 @@ def fit_counts(counts: dict[int, int], budget: int, exact: int = EXACT) -> dict[
     high = reach[-1] >> left
     above = left + (high & -high).bit_length() - 1 if high else bound + left
     best = low if left - low <= above - left else above
+    missed = abs(best - left)
     for i in range(len(reach) - 1, 0, -1):
         if not reach[i - 1] >> best & 1:
             n, k = packs[i - 1]
             take[n] += k
             best -= n * k
-    return {n: c for n, c in take.items() if c}
+    return missed
 
 
 def plan_mix(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
@@ -96,7 +111,7 @@ def plan_mix(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame
 
 def report(plan: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: target_share, max_repeats, documents, available and taken tokens, the target in tokens, share_of_total (of all
-    listed tokens), actual_share (of the mix) and whether the target was reached to within a hundredth of a percent of the total."""
+    listed tokens), actual_share (of the mix), most_copies and whether the target was reached to within a hundredth of a percent of the total."""
     own = plan.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available"), F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
     rows = targets.where("source is not null").select("source", "target_share", "max_repeats").distinct().join(own, "source", "left").na.fill(0, ["documents", "available", "taken", "most_copies"])
     sums = rows.agg(F.sum("available").alias("_all"), F.sum("taken").alias("_mix"))

@@ -97,7 +97,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target_share, max_repeats, available, target, tokens, actual_share, reached: what each source contributes."""
+    """source, target_share, max_repeats, documents, available, taken, most_copies, target, share_of_total, actual_share, reached: what each source contributes."""
     return mix.report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
