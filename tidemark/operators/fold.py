@@ -6,13 +6,17 @@ max_by, which combines before it shuffles, so a hot person costs no more than th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import GENERIC_HAN
 from tidemark.session import cut
 
 SEQ = "p * 4294967296 + coalesce(ord, 0)"
-GENERIC = r"(?i)^(?:the|le|la|les|that|un|une) |^那|的|们$|^(?:mother|father|sister|brother|aunt|uncle|doctor|captain|nurse|widow)$"
+#: Aliases that are couples, groups or descriptions.
+NO_ALIAS = "的|夫妇|夫妻|们|一家|俩"
 
 
 def known(log: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -66,24 +70,30 @@ def merge_map(log: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", F.col("from_id").alias("id")).agg(F.max_by("into_id", "seq").alias("into_id"), F.min("seq").alias("first_merge"))
 
 
-def canonical(merges: DataFrame, most_steps: int = 10_000) -> DataFrame:
+def canonical(merges: DataFrame) -> DataFrame:
     """book_id, id, canon: where following the merges from each merged id ends; on a cycle, at the first id met again.
 
-    One join per step of the longest chain; only unfinished rows go on. Chains are short in practice; ``most_steps`` only guards against
-    endless loops and raises if it is reached.
+    Pointer doubling: the table of targets is joined with itself, so a chain of n merges takes log2(n) rounds. What still moves after as many rounds as
+    the longest possible chain needs has a cycle ahead; its targets are exactly the members of cycles. They stay where they are, and become the ends of what leads to them.
     """
-    step = merges.select("book_id", F.col("id").alias("cur"), F.col("into_id").alias("nxt"))
-    # A row stops when its current id has no merge, or was seen before.
-    active = merges.select("book_id", "id", F.col("into_id").alias("cur"), F.array("id").alias("seen"))
-    done: DataFrame | None = None
-    for _ in range(most_steps):
-        moved = cut(active.join(step, ["book_id", "cur"], "left").withColumn("over", F.col("nxt").isNull() | F.array_contains("seen", F.col("cur"))))
-        ended = moved.where("over").select("book_id", "id", F.col("cur").alias("canon"))
-        done = ended if done is None else done.unionByName(ended)
-        active = moved.where("not over").select("book_id", "id", F.col("nxt").alias("cur"), F.array_append("seen", F.col("cur")).alias("seen"))
-        if active.isEmpty():
-            return done
-    raise ValueError("merge chains are longer than most_steps")
+    step = cut(merges.select("book_id", "id", F.col("into_id").alias("to")))
+    jump, moving = _doubled(step)
+    if not moving:
+        return jump.select("book_id", "id", F.col("to").alias("canon"))
+    rings = cut(jump.where("going").select("book_id", F.col("to").alias("id")).distinct())
+    rest, _ = _doubled(step.join(rings, ["book_id", "id"], "left_anti"))
+    return rest.select("book_id", "id", F.col("to").alias("canon")).unionByName(rings.select("book_id", "id", F.col("id").alias("canon")))
+
+
+def _doubled(step: DataFrame) -> tuple[DataFrame, bool]:
+    """book_id, id, to, going after doubling until nothing moves, or until only what leads into a cycle does; and whether anything still moves."""
+    rounds = math.ceil(math.log2(step.count() + 2)) + 1
+    jump, moving = step.withColumn("going", F.lit(True)), True
+    while moving and rounds:
+        ahead = jump.select("book_id", F.col("id").alias("to"), F.col("to").alias("further"))
+        jump = cut(jump.select("book_id", "id", "to").join(ahead, ["book_id", "to"], "left").select("book_id", "id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("going")))
+        moving, rounds = not jump.where("going").isEmpty(), rounds - 1
+    return jump, moving
 
 
 def with_canon(rows: DataFrame, canon: DataFrame, column: str, out: str) -> DataFrame:
@@ -91,18 +101,25 @@ def with_canon(rows: DataFrame, canon: DataFrame, column: str, out: str) -> Data
     return rows.join(canon.select("book_id", F.col("id").alias(column), F.col("canon").alias(out)), ["book_id", column], "left").withColumn(out, F.coalesce(out, column))
 
 
-def world(log: DataFrame) -> DataFrame:
-    """book_id, id, name, tagline, bio, imp, n: the cards after merges.
+def is_generic(name: Column) -> Column:
+    """A word for anyone instead of a name; also where there is none."""
+    return F.coalesce(name.isin(*GENERIC_HAN.split()), F.lit(True))
+
+
+def members(cards: DataFrame, merges: DataFrame) -> DataFrame:
+    """The cards with ``to``, the person each belongs to after merges, and first_merge.
 
-    A merged person disappears into its canonical person if that was introduced, else stays. The target keeps its own name unless it
-    is generic and a source has a proper one (first merged first), sums the counts, and takes a bio only where it has none.
+    A merged person disappears into its canonical person if that was introduced, else stays.
     """
-    cards, merges = cut(people(log)), cut(merge_map(log))
-    canon = canonical(merges)
     exists = cards.select("book_id", F.col("id").alias("canon")).withColumn("there", F.lit(True))
-    rows = cards.join(canon, ["book_id", "id"], "left").join(merges.select("book_id", "id", "first_merge"), ["book_id", "id"], "left").join(exists, ["book_id", "canon"], "left")
-    rows = rows.withColumn("to", F.when(F.col("there"), F.col("canon")).otherwise(F.col("id")))
-    own, proper = F.col("id") == F.col("to"), ~F.coalesce(F.col("name").rlike(GENERIC), F.lit(True))
+    rows = cards.join(canonical(merges), ["book_id", "id"], "left").join(merges.select("book_id", "id", "first_merge"), ["book_id", "id"], "left").join(exists, ["book_id", "canon"], "left")
+    return rows.withColumn("to", F.when(F.col("there"), F.col("canon")).otherwise(F.col("id"))).drop("there", "canon")
+
+
+def merged_cards(rows: DataFrame) -> DataFrame:
+    """book_id, id, name, tagline, bio, imp, n of the persons that are left: the target keeps its own name unless it is generic and a source has a
+    proper one (first merged first), sums the counts, and takes a bio only where it has none."""
+    own, proper = F.col("id") == F.col("to"), ~is_generic(F.col("name"))
     merged = rows.groupBy("book_id", F.col("to").alias("id")).agg(
         F.max(F.when(own, F.col("name"))).alias("name0"),
         F.min_by("name", F.when(~own & proper, F.col("first_merge"))).alias("name1"),
@@ -112,11 +129,43 @@ def world(log: DataFrame) -> DataFrame:
         F.max(F.when(own, F.col("imp"))).alias("imp"),
         F.sum("n").alias("n"),
     )
-    name = F.when(F.coalesce(F.col("name0").rlike(GENERIC), F.lit(True)) & F.col("name1").isNotNull(), F.col("name1")).otherwise(F.col("name0"))
+    name = F.when(is_generic(F.col("name0")) & F.col("name1").isNotNull(), F.col("name1")).otherwise(F.col("name0"))
     bio = F.when(F.trim(F.coalesce("bio0", F.lit(""))) != "", F.col("bio0")).otherwise(F.col("bio1"))
     return merged.select("book_id", "id", name.alias("name"), "tagline", bio.alias("bio"), "imp", "n")
 
 
+def world(log: DataFrame) -> DataFrame:
+    """book_id, id, name, tagline, bio, imp, n: the cards after merges."""
+    return merged_cards(members(cut(people(log)), cut(merge_map(log))))
+
+
+def world_aliases(log: DataFrame) -> DataFrame:
+    """book_id, id, alias: the other names of each person after merges: names it had before, aliases, and all names of those merged into it.
+
+    Names before the introduction are held until it; those before a later reset are gone. Blank ones, the present name, words for anyone, groups, and the
+    present name of another person are no aliases.
+    """
+    rows = cut(members(cut(people(log)), cut(merge_map(log))))
+    persons = introductions(log)
+    first = log.where("t = 'person'").groupBy("book_id", "id").agg(F.max_by("name", "seq").alias("alias"))
+    later = _effective(log.where("t in ('name', 'alias') and id is not null").select("book_id", "id", F.coalesce("name", "alias").alias("alias"), "seq"), persons, True)
+    every = first.unionByName(later.select("book_id", "id", "alias")).join(rows.select("book_id", "id", "to"), ["book_id", "id"]).select("book_id", F.col("to").alias("id"), "alias").distinct()
+    present = cut(merged_cards(rows).select("book_id", "id", "name"))
+    fit = every.join(present, ["book_id", "id"]).where("trim(alias) <> '' and not (alias <=> name)").where(~is_generic(F.col("alias")) & ~is_generic(F.regexp_replace("alias", "^[他她的老小未]+", "")) & ~F.col("alias").rlike(NO_ALIAS))
+    return fit.join(present.select("book_id", F.col("name").alias("alias")), ["book_id", "alias"], "left_anti").select("book_id", "id", "alias")
+
+
+def world_attributes(log: DataFrame) -> DataFrame:
+    """book_id, id, key, value, versions: the attribute in force after merges. At one position the person's own records win, then those of persons merged earlier."""
+    merges = cut(merge_map(log))
+    rows = members(introductions(log), merges).select("book_id", "id", "to", "first_merge")
+    attrs = _effective(log.where("t = 'attr' and id is not null and attr_key is not null").select("book_id", "id", "rec_id", "attr_key", "attr_value", "p", "seq").distinct(), introductions(log), True)
+    placed = attrs.join(rows, ["book_id", "id"]).withColumn("key", F.lower(F.trim("attr_key")))
+    own = F.col("id") == F.col("to")
+    order = F.struct("p", own.cast("int"), F.when(own, F.lit(0)).otherwise(-F.coalesce("first_merge", F.lit(0))), "eff", "rec_id")
+    return placed.groupBy("book_id", F.col("to").alias("id"), "key").agg(F.max_by("attr_value", order).alias("value"), F.count(F.lit(1)).alias("versions"))
+
+
 def current_attributes(log: DataFrame) -> DataFrame:
     """book_id, id, key, value, versions: the attribute in force of each introduced person and the number of its versions."""
     rows = _effective(log.where("t = 'attr' and id is not null and attr_key is not null").select("book_id", "id", "rec_id", "attr_key", "attr_value", "p", "seq").distinct(), introductions(log), True)

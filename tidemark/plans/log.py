@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import GENERIC_HAN, is_generic
 from tidemark.functions.text import u16_length
 from tidemark.operators import fold
 from tidemark.operators.running import running, within_spans
+from tidemark.plans import name_sql as sql
 from tidemark.session import cut
 from tidemark.sources.tables import log_records, table
 
@@ -79,22 +81,32 @@ def fold_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.world(_log(spark, sf_dir, "person", "name", "profile", "imp", "cnt", "merge"))
 
 
-WORLD_SQL = (
+_HAN = ", ".join(f"'{w}'" for w in GENERIC_HAN.split())
+WORLD = (
     LG.replace("with first", "with recursive first").rstrip().rstrip(",")
     + ","
     + CANON
     + ","
     + CARD
-    + """,
-r as (select card.*, m.mo, case when ex.id is not null then canon.canon else card.id end as dest
+    + f""",
+r as materialized (select card.*, m.mo, case when ex.id is not null then canon.canon else card.id end as dest
       from card left join canon using (book_id, id) left join m using (book_id, id) left join card ex on ex.book_id = card.book_id and ex.id = canon.canon),
-g as (select *, id = dest as own, regexp_matches(name, '(?i)^(?:the|le|la|les|that|un|une) |^那|的|们$|^(?:mother|father|sister|brother|aunt|uncle|doctor|captain|nurse|widow)$') as generic from r),
+g as (select *, id = dest as own, name in ({_HAN}) as generic from r),
 a as (select book_id, dest as id, max(name) filter (where own) as name0, bool_or(generic) filter (where own) as generic0, arg_min(name, mo) filter (where not own and not coalesce(generic, true)) as name1,
              max(tagline) filter (where own) as tagline, max(bio) filter (where own) as bio0, arg_min(bio, mo) filter (where not own and trim(bio) <> '') as bio1,
-             max(imp) filter (where own) as imp, cast(sum(n) as bigint) as n from g group by 1, 2)
-select book_id, id, case when coalesce(generic0, true) and name1 is not null then name1 else name0 end as name, tagline, case when trim(coalesce(bio0, '')) <> '' then bio0 else bio1 end as bio, imp, n from a
+             max(imp) filter (where own) as imp, cast(sum(n) as bigint) as n from g group by 1, 2),
+w as materialized (select book_id, id, case when coalesce(generic0, true) and name1 is not null then name1 else name0 end as name, tagline, case when trim(coalesce(bio0, '')) <> '' then bio0 else bio1 end as bio, imp, n from a)
 """
 )
+WORLD_SQL = WORLD + " select * from w"
+
+
+def world_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.world_aliases(_log(spark, sf_dir, "person", "name", "alias", "profile", "imp", "cnt", "merge"))
+
+
+def world_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.world_attributes(_log(spark, sf_dir, "person", "attr", "merge"))
 
 
 def canon_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +134,7 @@ def name_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a book with two owners or more, without epithets."""
-    rows = log_records(spark, sf_dir, "person", "name", "alias").select("book_id", "id", F.lower(F.coalesce("name", "alias")).alias("name")).where("trim(name) <> ''").where(~F.col("name").rlike(fold.GENERIC))
+    rows = log_records(spark, sf_dir, "person", "name", "alias").select("book_id", "id", F.lower(F.coalesce("name", "alias")).alias("name")).where("trim(name) <> ''").where(~is_generic(F.col("name")))
     return rows.groupBy("book_id", "name").agg(F.countDistinct("id").alias("owners"), F.min("id").alias("first_owner")).where("owners > 1")
 
 
@@ -301,6 +313,8 @@ QUERIES = {
     "log_asof_counts": asof_counts,
     "log_fold_people": fold_people,
     "log_fold_world": fold_world,
+    "log_world_aliases": world_aliases,
+    "log_world_attributes": world_attributes,
     "log_canon_chain": canon_chain,
     "log_current_attributes": current_attributes,
     "log_attribute_conflicts": attribute_conflicts,
@@ -336,20 +350,29 @@ rr as (select book_id, rec_id, seq, least(a, b) as a1, greatest(a, b) as b1, cas
 """
 _NAMES = "(select distinct book_id, id, t, lower(coalesce(name, alias)) as n from kg_log where t in ('person', 'name', 'alias'))"
 _PAIRS = """pairs as (select book_id, x as a, y as b, count(*) as events from (
-  select rec_id, book_id, unnest(w) as x, w from (select distinct rec_id, book_id, list_slice(list_sort(list_distinct(who)), 1, 12) as w from kg_log where t = 'event')) s, unnest(s.w) as u(y) where x < y group by 1, 2, 3)"""
+  select rec_id, book_id, unnest(w) as x, w from (select distinct rec_id, book_id, list_sort(list_distinct(who)) as w from kg_log where t = 'event')) s, unnest(s.w) as u(y) where x < y group by 1, 2, 3)"""
 
 ORACLES = {
     "log_range_slice": RANGE_SQL,
     "log_asof_counts": _L + " select book_id, t, count(*) as records from lg group by 1, 2",
     "log_fold_people": LG + CARD + " select * from card",
     "log_fold_world": WORLD_SQL,
+    "log_world_aliases": WORLD
+    + f""", al as (select distinct r.book_id, r.dest as id, x.alias from r join (select book_id, id, arg_max(name, seq) as alias from lg where t = 'person' group by 1, 2 union all select book_id, id, coalesce(name, alias) from eff where t in ('name', 'alias')) x using (book_id, id))
+    select al.* from al join w using (book_id, id) where trim(alias) <> '' and alias is distinct from w.name and alias not in ({_HAN}) and regexp_replace(alias, '^[他她的老小未]+', '') not in ({_HAN}) and not regexp_matches(alias, '{fold.NO_ALIAS}')
+    and not exists (select 1 from w z where z.book_id = al.book_id and z.name = al.alias)""",
+    "log_world_attributes": WORLD
+    + """ select eff.book_id, r.dest as id, lower(trim(attr_key)) as key, nullif(arg_max(coalesce(attr_value, chr(1)), [eff.p, (r.id = r.dest)::int, case when r.id = r.dest then 0 else -coalesce(mo, 0) end, eo, seq, rec_id]), chr(1)) as value, count(*) as versions
+    from eff join r using (book_id, id) where t = 'attr' and attr_key is not null group by 1, 2, 3""",
+    "log_tainted": """with recursive m as (select distinct book_id || '/' || from_id as a, book_id || '/' || into_id as b, p from kg_log where t = 'merge' and from_id <> into_id and p is not null), e as (select a, b, p from m union all select b, a, p from m),
+    r(id, t) as (select book_id || '/' || min(from_id), min(p) from kg_log where t = 'merge' and from_id is not null group by book_id union select e.b, greatest(r.t, e.p) from r join e on e.a = r.id) select id, min(t) as taint from r group by 1""",
     "log_canon_chain": LG.replace("with first", "with recursive first") + CANON + " select * from canon",
     "log_current_attributes": _L + " select book_id, id, lower(trim(attr_key)) as key, nullif(arg_max(coalesce(attr_value, chr(1)), [p, eo, seq, rec_id]), chr(1)) as value, count(*) as versions from eff where t = 'attr' and attr_key is not null group by 1, 2, 3",
     "log_attribute_conflicts": _L
     + """, z as (select book_id, id, lower(trim(attr_key)) as key, attr_value, row_number() over (partition by book_id, id, lower(trim(attr_key)) order by seq desc, rec_id desc) as k from lg where t = 'attr' and attr_key is not null and trim(attr_value) <> '')
     select book_id, id, key, count(*) as versions, count(distinct attr_value) as values from z where k <= 4 group by 1, 2, 3 having count(distinct attr_value) > 1""",
     "log_name_history": _L + " select book_id, id, coalesce(name, alias) as name, min(p) as first_p, max(p) as last_p from lg where t in ('person', 'name', 'alias') and id is not null and trim(coalesce(name, alias)) <> '' group by 1, 2, 3",
-    "log_ambiguous_names": f"select book_id, n as name, count(distinct id) as owners, min(id) as first_owner from {_NAMES} where trim(n) <> '' and not regexp_matches(n, '{fold.GENERIC}') group by 1, 2 having count(distinct id) > 1",
+    "log_ambiguous_names": f"select book_id, n as name, count(distinct id) as owners, min(id) as first_owner from {_NAMES} where trim(n) <> '' and not {sql.generic('n')} group by 1, 2 having count(distinct id) > 1",
     "log_unique_owner_links": f"""with o as (select book_id, n, min(id) as owner from {_NAMES} where t = 'person' and n is not null group by 1, 2 having min(id) = max(id))
     select distinct a.book_id, a.id, a.n as alias, owner from {_NAMES} a join o on o.book_id = a.book_id and o.n = a.n where a.t = 'alias' and a.id <> owner""",
     "log_relation_versions": _L

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import names as N
 from tidemark.operators import fold
 from tidemark.operators.contained import contained_names
+from tidemark.plans import name_sql as sql
 from tidemark.plans.log import CANON, LG, SHARE, _log
 from tidemark.session import cut
 from tidemark.sources.tables import log_records, table
@@ -148,40 +149,14 @@ QUERIES = {
 }
 
 
-def _list(words: str) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words.split())
-
-
-def _sql_latin(n: str) -> str:
-    return rf"(regexp_matches({n}, '[A-Za-z]') and not regexp_matches({n}, '[\x{{3400}}-\x{{9fff}}]'))"
-
-
-def _sql_generic(n: str) -> str:
-    bare = f"regexp_replace(rtrim(lower(trim({n})), '.'), '{N.LEADING_PATTERN}', '')"
-    latin = f"({bare} in ({_list(N.GENERIC_LATIN)}, {_list(N.PRONOUNS)}) or rtrim({bare}, 's') in ({_list(N.GENERIC_LATIN)}))"
-    return f"(case when {_sql_latin(n)} then {latin} else trim({n}) in ({_list(N.GENERIC_HAN)}) or regexp_replace(trim({n}), '^[他她的老小]+', '') in ({_list(N.GENERIC_HAN)}) end)"
-
-
-def _sql_core(n: str) -> str:
-    bare = f"(case when {_sql_latin(n)} then regexp_replace({n}, '{N.TITLE_PATTERN}', '') else regexp_replace({n}, '{N.SUFFIX_PATTERN}', '') end)"
-    return f"(case when length({bare}) >= 2 and {bare} <> {n} then {bare} else '' end)"
-
-
-def _sql_short(n: str) -> str:
-    bare = f"(case when {_sql_core(n)} <> '' then {_sql_core(n)} else {n} end)"
-    parts = rf"list_filter(regexp_split_to_array({bare}, '\s+'), lambda w: length(w) >= 3 and lower(w) not in ({_list(N.EMPTY_WORDS)}))"
-    han = f"case when regexp_matches({n}, '{N.SUFFIX_PATTERN}') then [] when contains({n}, '·') then list_filter(string_split({n}, '·'), lambda w: length(w) >= 2) when length({n}) between 3 and 4 then [substr({n}, 2)] else [] end"
-    return f"list_distinct(case when {_sql_latin(n)} then case when len({parts}) > 1 then {parts} else [] end else {han} end)"
-
-
-_PRONOUN = f"lower(trim(name)) in ({_list(N.PRONOUNS)})"
-_GOOD = f"(trim(name) <> '' and not {_PRONOUN} and not {_sql_generic('name')} and regexp_replace(name, '^[他她的老小未]+', '') not in ({_list(N.GENERIC_HAN)}) and not (case when {_sql_latin('name')} then regexp_matches(lower(name), '{N.GROUPS_LATIN.replace(chr(39), chr(39) * 2)}') else regexp_matches(name, '{N.GROUPS_HAN}') end))"
+_PRONOUN = f"lower(trim(name)) in ({sql.words(N.PRONOUNS)})"
+_GOOD = f"(trim(name) <> '' and not {_PRONOUN} and not {sql.generic('name')} and regexp_replace(name, '^[他她的老小未]+', '') not in ({sql.words(N.GENERIC_HAN)}) and not (case when {sql.latin('name')} then regexp_matches(lower(name), '{N.GROUPS_LATIN.replace(chr(39), chr(39) * 2)}') else regexp_matches(name, '{N.GROUPS_HAN}') end))"
 _NAMED = "named as materialized (select distinct book_id, id, coalesce(name, alias) as name from kg_log where t in ('person', 'name', 'alias') and id is not null and book_id is not null and trim(coalesce(name, alias)) <> '')"
 _PEOPLE = f"""pers as materialized (select book_id, id, min(p) as first, min(gender) filter (where trim(gender) <> '') as gender from kg_log where t = 'person' and id is not null and p is not null group by 1, 2),
 mc as (select book_id, id, cast(sum(k) as bigint) as mentions from (select distinct book_id, rec_id, unnest(map_keys(c)) as id, unnest(map_values(c)) as k from kg_log where t = 'cnt') group by 1, 2),
 cu as (select book_id, cast(floor(max(p) * {SHARE}) as bigint) as pos from kg_log group by 1),
 people as materialized (select pers.*, coalesce(mentions, 0) as mentions, first > pos as late from pers left join mc using (book_id, id) join cu using (book_id))"""
-_NK = f"nk as materialized (select named.*, gender, late, {_sql_generic('name')} as weak, {_sql_core('name')} as core, {_sql_short('name')} as short from named join people using (book_id, id) where length(trim(name)) >= 2 and not {_PRONOUN})"
+_NK = f"nk as materialized (select named.*, gender, late, {sql.generic('name')} as weak, {sql.core('name')} as core, {sql.short('name')} as short from named join people using (book_id, id) where length(trim(name)) >= 2 and not {_PRONOUN})"
 _LINKED = f"""with {_NAMED}, {_PEOPLE}, {_NK},
 cand as (select distinct a.book_id, a.id, b.id as dest from nk a join nk b on a.book_id = b.book_id and a.late and not b.late
   where a.id <> b.id and not coalesce(a.gender <> b.gender, false) and (a.name = b.name or (a.core <> '' and a.core = b.core) or (not a.weak and not b.weak and list_contains(b.short, a.name)) or (not a.weak and list_contains(a.short, b.name))
@@ -195,11 +170,11 @@ linked as (select book_id, id, case when n = 1 then 'name' when candidates is no
   from people left join sure using (book_id, id) left join li using (book_id, id) where late)"""
 
 ORACLES = {
-    "name_forms": f"with {_NAMED} select distinct name, {_sql_generic('name')} as generic, {_GOOD} as good, {_sql_core('name')} as core, array_to_string(list_sort({_sql_short('name')}), '|') as short from named",
-    "person_names": f"""with {_NAMED}, x as (select *, {_sql_generic('name')} as weak from named where length(trim(name)) >= 2 and not {_PRONOUN}),
+    "name_forms": f"with {_NAMED} select distinct name, {sql.generic('name')} as generic, {_GOOD} as good, {sql.core('name')} as core, array_to_string(list_sort({sql.short('name')}), '|') as short from named",
+    "person_names": f"""with {_NAMED}, x as (select *, {sql.generic('name')} as weak from named where length(trim(name)) >= 2 and not {_PRONOUN}),
     o as (select book_id, id, arg_min(name, [p, ord, rec_id]) as own from kg_log where t = 'person' and trim(name) <> '' and p is not null group by 1, 2),
     g as (select book_id, id, coalesce(string_agg(distinct name, '|' order by name) filter (where not weak), '') as strong, coalesce(string_agg(distinct name, '|' order by name) filter (where weak), '') as weak, (list(name order by length(name) desc, name) filter (where not weak))[1] as longest from x group by 1, 2)
-    select book_id, id, strong, weak, case when own is null or {_sql_generic('own')} then coalesce(longest, own) else own end as proper from g left join o using (book_id, id)""",
+    select book_id, id, strong, weak, case when own is null or {sql.generic('own')} then coalesce(longest, own) else own end as proper from g left join o using (book_id, id)""",
     "linked_people": _LINKED + " select * from linked",
     "link_histogram": _LINKED + " select how, count(*) as people from linked group by 1",
     "resolved_references": LG.replace("with first", "with recursive first")
@@ -209,8 +184,8 @@ ORACLES = {
     bn as (select book_id, ref, (list(id order by f, id))[1] as by_name from nm group by 1, 2)
     select refs.book_id, refs.ref, case when per.id is not null then coalesce(canon.canon, refs.ref) else by_name end as id from refs left join per on per.book_id = refs.book_id and per.id = refs.ref left join bn on bn.book_id = refs.book_id and bn.ref = refs.ref
     left join canon on canon.book_id = refs.book_id and canon.id = refs.ref""",
-    "same_candidates": f"""with {_NAMED}, {_PEOPLE}, nk as materialized (select named.*, {_sql_generic('name')} as weak, {_sql_core('name')} as core, {_sql_latin('name')} as latin,
-      list_filter(regexp_extract_all(lower(name), '[a-z][a-z''’\\-]+'), lambda w: w not in ({_list(N.EMPTY_WORDS)})) as toks from named join people using (book_id, id) where length(name) >= 2),
+    "same_candidates": f"""with {_NAMED}, {_PEOPLE}, nk as materialized (select named.*, {sql.generic('name')} as weak, {sql.core('name')} as core, {sql.latin('name')} as latin,
+      list_filter(regexp_extract_all(lower(name), '[a-z][a-z''’\\-]+'), lambda w: w not in ({sql.words(N.EMPTY_WORDS)})) as toks from named join people using (book_id, id) where length(name) >= 2),
     pr as (select distinct a.book_id, a.id as x, b.id as y from nk a join nk b on a.book_id = b.book_id and a.id < b.id where a.name = b.name or (not a.weak and not b.weak and (a.core <> '' and a.core = b.core or a.latin and b.latin and list_has_any(a.toks, b.toks) or contains(a.name, b.name) or contains(b.name, a.name)))),
     ew as (select distinct rec_id, book_id, unnest(who) as id from kg_log where t = 'event'), tg as (select distinct e.book_id, e.id as x, f.id as y from ew e join ew f on e.rec_id = f.rec_id and e.book_id = f.book_id and e.id < f.id
       union select book_id, least(a, b), greatest(a, b) from kg_log where t = 'rel' and a is not null and b is not null)
