@@ -19,7 +19,7 @@ def at(spark, rows, pos):
 
 
 REVEAL = [
-    {"t": "person", "p": 10, "id": "P1", "name": "the pedlar", "imp": 1},
+    {"t": "person", "p": 10, "id": "P1", "name": "the shopkeeper", "imp": 1},
     {"t": "person", "p": 30, "id": "P2", "name": "Anna Vale", "imp": 2},
     {"t": "merge", "p": 35, "from_id": "P2", "into_id": "P1"},
     {"t": "cnt", "p": 36, "c": {"P1": 2, "P2": 3, "ghost": 9}},
@@ -28,7 +28,7 @@ REVEAL = [
 
 def test_a_merge_is_unknown_before_its_position(spark):
     before = {r.id: r.name for r in fold.world(at(spark, REVEAL, 34)).collect()}
-    assert before == {"P1": "the pedlar", "P2": "Anna Vale"}
+    assert before == {"P1": "the shopkeeper", "P2": "Anna Vale"}
     after = {r.id: (r.name, r.n) for r in fold.world(at(spark, REVEAL, 40)).collect()}
     assert after == {"P1": ("Anna Vale", 5)}  # a generic name gives way, counts add up
 

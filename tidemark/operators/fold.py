@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import GENERIC_HAN
+from tidemark.functions import names
 from tidemark.session import cut
 
 SEQ = "p * 4294967296 + coalesce(ord, 0)"
@@ -103,7 +103,7 @@ def with_canon(rows: DataFrame, canon: DataFrame, column: str, out: str) -> Data
 
 def is_generic(name: Column) -> Column:
     """A word for anyone instead of a name; also where there is none."""
-    return F.coalesce(name.isin(*GENERIC_HAN.split()), F.lit(True))
+    return name.isNull() | names.is_generic(name)
 
 
 def members(cards: DataFrame, merges: DataFrame) -> DataFrame:

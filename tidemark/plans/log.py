@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import GENERIC_HAN, is_generic
+from tidemark.functions.names import is_generic
 from tidemark.functions.text import u16_length
 from tidemark.operators import fold
 from tidemark.operators.running import running, within_spans
@@ -81,7 +81,6 @@ def fold_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.world(_log(spark, sf_dir, "person", "name", "profile", "imp", "cnt", "merge"))
 
 
-_HAN = ", ".join(f"'{w}'" for w in GENERIC_HAN.split())
 WORLD = (
     LG.replace("with first", "with recursive first").rstrip().rstrip(",")
     + ","
@@ -91,7 +90,7 @@ WORLD = (
     + f""",
 r as materialized (select card.*, m.mo, case when ex.id is not null then canon.canon else card.id end as dest
       from card left join canon using (book_id, id) left join m using (book_id, id) left join card ex on ex.book_id = card.book_id and ex.id = canon.canon),
-g as (select *, id = dest as own, name in ({_HAN}) as generic from r),
+g as (select *, id = dest as own, {sql.generic('name')} as generic from r),
 a as (select book_id, dest as id, max(name) filter (where own) as name0, bool_or(generic) filter (where own) as generic0, arg_min(name, mo) filter (where not own and not coalesce(generic, true)) as name1,
              max(tagline) filter (where own) as tagline, max(bio) filter (where own) as bio0, arg_min(bio, mo) filter (where not own and trim(bio) <> '') as bio1,
              max(imp) filter (where own) as imp, cast(sum(n) as bigint) as n from g group by 1, 2),
@@ -359,7 +358,7 @@ ORACLES = {
     "log_fold_world": WORLD_SQL,
     "log_world_aliases": WORLD
     + f""", al as (select distinct r.book_id, r.dest as id, x.alias from r join (select book_id, id, arg_max(name, seq) as alias from lg where t = 'person' group by 1, 2 union all select book_id, id, coalesce(name, alias) from eff where t in ('name', 'alias')) x using (book_id, id))
-    select al.* from al join w using (book_id, id) where trim(alias) <> '' and alias is distinct from w.name and alias not in ({_HAN}) and regexp_replace(alias, '^[他她的老小未]+', '') not in ({_HAN}) and not regexp_matches(alias, '{fold.NO_ALIAS}')
+    select book_id, id, alias from (select *, regexp_replace(alias, '^[他她的老小未]+', '') as stripped from al) al join w using (book_id, id) where trim(alias) <> '' and alias is distinct from w.name and not {sql.generic('alias')} and not {sql.generic(chr(34) + 'stripped' + chr(34))} and not regexp_matches(alias, '{fold.NO_ALIAS}')
     and not exists (select 1 from w z where z.book_id = al.book_id and z.name = al.alias)""",
     "log_world_attributes": WORLD
     + """ select eff.book_id, r.dest as id, lower(trim(attr_key)) as key, nullif(arg_max(coalesce(attr_value, chr(1)), [eff.p, (r.id = r.dest)::int, case when r.id = r.dest then 0 else -coalesce(mo, 0) end, eo, seq, rec_id]), chr(1)) as value, count(*) as versions
