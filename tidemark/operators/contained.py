@@ -36,3 +36,19 @@ def contained_names(left: DataFrame, right: DataFrame, scope: str = "book_id") -
     one = names_in_texts(left, right, scope, "name", "to_name")
     other = names_in_texts(right, left, scope, "to_name", "name")
     return one.unionByName(other).distinct()
+
+
+def whole_words(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str) -> DataFrame:
+    """Rows of texts with each name of their scope that stands in them as a whole word (no basic Latin letter before or after): place (of the first, from 1) and times.
+
+    Long texts are looked up by their word beginnings only, not by all their parts; names of Han characters by every ideograph. Names that begin with
+    neither a letter nor a digit match nothing.
+    """
+    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?<![A-Za-z])(?=([\p{{L}}\p{{N}}].{{0,{KEY - 1}}}))"), F.lit(1)))
+    # The ends of names shorter than a key are words by themselves.
+    short = F.flatten(F.transform(starts, lambda s: F.array(*(F.substring(s, 1, n) for n in range(2, KEY)))))
+    keyed = names.where(F.length(name) >= 2).withColumn("_key", _key(F.col(name)))
+    parts = texts.withColumn("_key", F.explode(F.array_distinct(F.concat(starts, short))))
+    pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), F.col(name), F.lit(r"\E(?![A-Za-z])"))
+    hits = parts.join(keyed, [scope, "_key"]).drop("_key").where(F.col(text).contains(F.col(name)))
+    return hits.withColumn("place", F.regexp_instr(text, pattern)).where("place > 0").withColumn("times", F.regexp_count(text, pattern))

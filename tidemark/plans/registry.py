@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import activity, asof, log, naming, text
+from tidemark.plans import activity, asof, log, naming, rules, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": asof.p2_found} | log.QUERIES | text.QUERIES | activity.QUERIES | naming.QUERIES
-ORACLES: dict[str, str] = {"p2_found": asof.P2_SQL} | log.ORACLES | text.ORACLES | activity.ORACLES | naming.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": asof.p2_found} | log.QUERIES | text.QUERIES | activity.QUERIES | naming.QUERIES | rules.QUERIES
+ORACLES: dict[str, str] = {"p2_found": asof.P2_SQL} | log.ORACLES | text.ORACLES | activity.ORACLES | naming.ORACLES | rules.ORACLES
