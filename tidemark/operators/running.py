@@ -36,3 +36,21 @@ def within_spans(points: DataFrame, spans: DataFrame, scope: str, point: str, st
     cells = spans.where(F.col(start) < F.col(end)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
     placed = points.withColumn("_cell", F.floor(F.col(point) / width))
     return placed.join(cells, [scope, "_cell"]).where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_cell")
+
+
+def ranked(rows: DataFrame, entity: list[str], position: str, order: list[str], out: str = "rank", stretch: int = 1 << 15) -> DataFrame:
+    """Adds ``out``: the place of each row of its entity from 1, in the order (position, *order), counted in two levels."""
+    return running(rows.withColumn("_one", F.lit(1)), entity, position, order, "_one", out, stretch=stretch).drop("_one")
+
+
+def sliding(rows: DataFrame, entity: list[str], position: str, order: list[str], last: int, width: int = 4096, **aggregates: Column) -> DataFrame:
+    """Adds aggregates over the last ``last`` rows of the entity up to each row.
+
+    Rows are cut by their rank into runs of ``width``; the end of each run is shown to the next one too, so no run waits for another and a
+    hot entity has many tasks.
+    """
+    placed = ranked(rows, entity, position, order, "_rank")
+    shown = F.when((F.col("_rank") - 1) % width >= width - (last - 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    runs = placed.withColumn("_copy", F.explode(shown)).withColumn("_run", F.floor((F.col("_rank") - 1) / width) + F.col("_copy"))
+    window = Window.partitionBy(*entity, "_run").orderBy("_rank").rowsBetween(-(last - 1), Window.currentRow)
+    return runs.withColumns({name: agg.over(window) for name, agg in aggregates.items()}).where("_copy = 0").drop("_rank", "_copy", "_run")
