@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.functions.words import prefix_units
+from tidemark.operators import fold
 from tidemark.operators.packing import pack_blocks, split_chapters
-from tidemark.operators.running import running, within_spans
+from tidemark.operators.running import ranked, running, within_spans
 from tidemark.plans.log import CHAPTERS, U16, _chapters
+from tidemark.session import cut
 from tidemark.sources.tables import log_records, table
 
 TERM = "lantern"
 QUESTION = "who hid the silver whistle in the bell tower"
+#: Known names in the question, whose grams weigh half as much again; how many paragraphs are given; how far the reader is.
+NAMES, PARAGRAPHS, SHARE = ("bell tower",), 14, 0.6
 FRONT, BACK = "(?i)preface|prologue|contents|avant-propos|序|目录", "(?i)afterword|appendix|postface|后记|附录"
 
 
@@ -100,21 +105,46 @@ def question_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).groupBy("gram").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+def _wanted(spark: SparkSession, *texts: str) -> list[str]:
+    """The distinct grams of the question and of names: a constant of the query, not of the data."""
+    return sorted({g for text in texts for g in spark.range(1).select(X.search_grams(F.lit(text)).alias("g")).first()["g"]})
+
+
+def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that begin before the reader's position, the last one cut at it: book_id, o, t."""
+    ends = fold.cutoffs(table(spark, sf_dir, "kg_log").select("book_id", "p"), SHARE)
+    blocks = table(spark, sf_dir, "blocks").where("k = 'p' and length(t) >= 8").select("book_id", "o", "t").join(ends, "book_id").where("o < pos")
+    return blocks.select("book_id", "o", prefix_units(F.col("t"), F.col("pos") - F.col("o")).alias("t"))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per paragraph and gram of the question in it: only the question's grams leave a paragraph."""
-    wanted = spark.range(1).select(X.grams(F.lit(QUESTION)).alias("g")).first()["g"]
-    blocks = table(spark, sf_dir, "blocks").where("k = 'p' and length(t) >= 8").select("book_id", "o", F.length("t").alias("len"), F.array_intersect(X.grams(F.col("t")), F.lit(wanted)).alias("g"))
+    wanted = F.array(*map(F.lit, _wanted(spark, QUESTION, *NAMES)))
+    blocks = _readable(spark, sf_dir).select("book_id", "o", F.length("t").alias("len"), F.array_intersect(X.search_grams(F.col("t")), wanted).alias("g"))
     return blocks.select("book_id", "o", "len", F.explode("g").alias("gram"))
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fourteen paragraphs of each book that best answer the question: rare grams weigh more, long paragraphs less."""
-    hits = _hits(spark, sf_dir)
-    paragraphs = table(spark, sf_dir, "blocks").where("k = 'p' and length(t) >= 8").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
-    weights = hits.groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("df")).join(paragraphs, "book_id").select("book_id", "gram", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("w"))
+    """The fourteen paragraphs of each book that best answer the question as far as the reader is, in the book's order.
+
+    Rare grams weigh more, those of known names half as much again, long paragraphs count less. Where fewer paragraphs share a gram, evenly
+    spaced ones with a score of 0 fill the places. The best are taken by salted parts first, so one book is no single task.
+    """
+    hits = cut(_hits(spark, sf_dir))
+    readable = _readable(spark, sf_dir).select("book_id", "o")
+    sizes = readable.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    named = [g for name in NAMES for g in _wanted(spark, name)]
+    boost = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for g in set(named) for x in (g, 1.5 ** named.count(g)))), F.col("gram")), F.lit(1.0)) if named else F.lit(1.0)
+    weights = hits.groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("df")).join(sizes, "book_id").select("book_id", "gram", (F.log(1 + F.col("n") / (1 + F.col("df"))) * boost).alias("w"))
     scored = hits.join(weights, ["book_id", "gram"]).groupBy("book_id", "o", "len").agg(F.round(F.sum("w") / (1 + 0.002 * F.col("len")), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("score"), F.desc("o")))
-    return scored.withColumn("place", place).where("place <= 14").select("book_id", "o", "score", F.col("place").cast("long").alias("place"))
+    best = [F.desc("score"), F.desc("o")]
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(16))).withColumn("k", F.row_number().over(Window.partitionBy("book_id", "salt").orderBy(*best))).where(F.col("k") <= PARAGRAPHS)
+    top = cut(salted.withColumn("k", F.row_number().over(Window.partitionBy("book_id").orderBy(*best))).where(F.col("k") <= PARAGRAPHS).select("book_id", "o", "score"))
+    short = sizes.join(top.groupBy("book_id").agg(F.count(F.lit(1)).alias("have")), "book_id", "left").withColumn("slots", PARAGRAPHS - F.coalesce("have", F.lit(0))).where("slots > 0")
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), F.least("slots", "n").cast("long") - 1), lambda i: F.bround(i * (F.col("n") - 1) / F.greatest(F.lit(1), F.col("slots") - 1)).cast("long") + 1)
+    spaced = ranked(readable, ["book_id"], "o", [], "i").join(short.select("book_id", F.explode(F.array_distinct(steps)).alias("i")), ["book_id", "i"]).select("book_id", "o").join(top, ["book_id", "o"], "left_anti")
+    rows = top.unionByName(spaced.withColumn("score", F.lit(0.0)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("o")).cast("long"))
 
 
 def anchored_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +162,14 @@ def anchored_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = parts.select("book_id", F.col("block_no").alias("b0"), F.col("seg").alias("_seg"))
     going = found.join(places, ["book_id", "b0"], "left").withColumn("seg", F.when(F.coalesce(F.col("near.stage") > 1, F.lit(True)), F.col("_seg"))).drop("_seg")
     best = F.min(F.least("near", _anchor())).alias("m")
-    return going.join(parts, ["book_id", "seg"], "left").groupBy("rec_id").agg(best).where("m is not null").select("rec_id", "m.stage", "m.distance", "m.block_no")
+    placed = going.join(parts, ["book_id", "seg"], "left").groupBy("rec_id", "book_id", "quote", "plain").agg(best).where("m is not null").select("rec_id", "book_id", "quote", "plain", "m.stage", "m.distance", "m.block_no")
+    # Where in its block: marks may stand between the characters of a quote that was found without them.
+    half = F.substring("plain", F.lit(1), F.floor(F.length("plain") / 2).cast("int"))
+    pattern = X.marks_between(F.when(F.col("stage") == 3, half).otherwise(F.col("plain")))
+    part = F.when(F.col("stage") == 1, F.col("quote")).otherwise(F.call_function("regexp_extract", F.col("t"), pattern, F.lit(0)))
+    rows = placed.join(blocks.select("book_id", "block_no", "o", "t"), ["book_id", "block_no"]).withColumn("part", part)
+    start = F.col("o") + X.u16_length(F.substring("t", F.lit(1), F.instr(F.col("t"), F.col("part")) - 1))
+    return rows.select("rec_id", "stage", "distance", "block_no", start.alias("start"), (start + X.u16_length(F.col("part"))).alias("end"))
 
 
 def _anchor() -> Column:
@@ -267,16 +304,27 @@ ORACLES = {
     "segment_texts": f"""with s as (select distinct book_id, seg, o0, o1 from segs), x as (select s.book_id, seg, o1, o, coalesce(t, '') as t from s join blocks b on b.book_id = s.book_id and b.o >= s.o0 and b.o < s.o1),
     g as (select book_id, seg, max(o1) as o1, string_agg(t, chr(10) order by o) as text from x group by 1, 2) select book_id, seg, {U16.format('text')} as units, md5(text) as md5 from g""",
 }
-_G = "select distinct book_id, o, length(t) as len, replace(lower(unnest(regexp_extract_all(t, '[A-Za-z][A-Za-z''’]{2,}'))), '’', '''') as gram from blocks where k = 'p' and length(t) >= 8"
-_Q = "q as (select distinct unnest(string_split('" + QUESTION + "', ' ')) as gram)"
-_QP = "regexp_replace('" + QUESTION + "', '[\\sA-Za-z0-9]', '', 'g')"
-ORACLES["question_grams"] = f"with {_Q}, g as ({_G}) select gram, count(*) as blocks from g join q using (gram) where length(gram) >= 3 group by 1"
-ORACLES["retrieved_paragraphs"] = f"""with {_Q}, g as ({_G}), h as (select g.* from g join q using (gram) where length(gram) >= 3), n as (select book_id, count(*) as n from blocks where k = 'p' and length(t) >= 8 group by 1),
-w as (select book_id, gram, ln(1 + n / (1 + df)) as w from (select book_id, gram, count(*) as df from h group by 1, 2) join n using (book_id)),
-s as (select book_id, o, round(sum(w) / (1 + 0.002 * len), 6) as score from h join w using (book_id, gram) group by book_id, o, len)
-select book_id, o, score, row_number() over (partition by book_id order by score desc, o desc) as place from s qualify place <= 14"""
-_N = "regexp_replace({0}, '[\\s，。、；：？！“”‘’「」『』（）()《》〈〉…—\\-·・,.;:?!\"''\\[\\]【】]', '', 'g')"
-ORACLES["anchored_quotes"] = f"""with qt as (select distinct rec_id, book_id, s, quote from kg_log where t = 'rel' and trim(quote) <> '' and s is not null),
-b as (select book_id, block_no, o, coalesce(t, '') as t, o + {_U} + 1 as e from blocks), at as not materialized (select rec_id, qt.book_id, quote, block_no as b0 from qt join b on b.book_id = qt.book_id and o <= s and s < e),
-r as (select rec_id, abs(block_no - b0) as distance, block_no, case when contains(t, quote) then 1 when length({_N.format('quote')}) >= 3 and contains({_N.format('t')}, {_N.format('quote')}) then 2 end as stage from at_ join b on b.book_id = at_.book_id and block_no between b0 - 2 and b0 + 2)
-select rec_id, arg_min(stage, [stage, distance, block_no]) as stage, arg_min(distance, [stage, distance, block_no]) as distance, arg_min(block_no, [stage, distance, block_no]) as block_no from r where stage is not null group by 1""".replace("at as not materialized", "at_ as")
+_CUT = f"cu as (select book_id, cast(floor(max(p) * {SHARE}) as bigint) as pos from kg_log group by 1)"
+# The text of the one paragraph that the position cuts: the longest prefix that has no more units than are left.
+_READ = f"""{_CUT}, rd0 as materialized (select book_id, o, t, {_U} as u, pos - o as want from blocks join cu using (book_id) where k = 'p' and length(t) >= 8 and o < pos), ct as materialized (select * from rd0 where u > want),
+rd as materialized (select book_id, o, t from rd0 where u <= want union all select book_id, o, substr(t, 1, coalesce(list_max(list_filter(range(greatest(want - length(regexp_replace(substr(t, 1, want), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) - 1, 0), want + 1), lambda i: i + length(regexp_replace(substr(t, 1, i), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) <= want)), 0)) from ct)"""
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS.split())
+_G = "g as (select distinct book_id, o, length(t) as len, replace(lower(unnest(regexp_extract_all(t, '[A-Za-z][A-Za-z''’]{2,}'))), '’', '''') as gram from rd)"
+_Q = "q as (select distinct gram from (select unnest(string_split('" + " ".join((QUESTION, *NAMES)) + f"', ' ')) as gram) where length(gram) >= 3 and gram not in ({_STOPS})), nm as (select unnest(string_split('" + " ".join(NAMES) + "', ' ')) as gram)"
+ORACLES["question_grams"] = f"with {_READ}, {_Q}, {_G} select gram, count(*) as blocks from g join q using (gram) group by 1"
+ORACLES["retrieved_paragraphs"] = f"""with {_READ}, {_Q}, {_G}, h as (select g.* from g join q using (gram)), n as (select book_id, count(*) as n from rd group by 1),
+w as (select book_id, gram, ln(1 + n / (1 + df)) * case when gram in (select gram from nm) then 1.5::double else 1 end as w from (select book_id, gram, count(*) as df from h group by 1, 2) join n using (book_id)),
+s as (select book_id, o, round(sum(w) / (1 + 0.002 * len), 6) as score from h join w using (book_id, gram) group by book_id, o, len), tp as (select * from s qualify row_number() over (partition by book_id order by score desc, o desc) <= {PARAGRAPHS}),
+sl as (select n.book_id, n, {PARAGRAPHS} - count(tp.o) as slots from n left join tp using (book_id) group by 1, 2), ix as (select distinct book_id, unnest(list_transform(range(0, least(slots, n)), lambda i: round_even(i * (n - 1) / greatest(1, slots - 1), 0)::bigint + 1)) as i from sl where slots > 0),
+rk as (select book_id, o, row_number() over (partition by book_id order by o) as i from rd), al as (select * from tp union all select rk.book_id, o, 0 from rk join ix using (book_id, i) where not exists (select 1 from tp where tp.book_id = rk.book_id and tp.o = rk.o))
+select book_id, o, score, row_number() over (partition by book_id order by o) as place from al"""
+_MARKS = X.MARKS.replace("'", "''")
+_N = "regexp_replace({0}, '" + _MARKS.replace("{", "{{").replace("}", "}}") + "', '', 'g')"
+ORACLES["anchored_quotes"] = f"""with qt as (select distinct rec_id, book_id, s, quote, {_N.format('quote')} as plain from kg_log where t = 'rel' and trim(quote) <> '' and s is not null),
+b as materialized (select book_id, block_no, o, coalesce(t, '') as t, {_N.format("coalesce(t, '')")} as bare, o + {_U} + 1 as e from blocks), at_ as (select rec_id, qt.book_id, quote, plain, block_no as b0, o as bo from qt join b on b.book_id = qt.book_id and o <= s and s < e),
+sg as (select distinct book_id, seg, o0, o1 from segs), ca as (select at_.*, b.block_no from at_ join b on b.book_id = at_.book_id and b.block_no between b0 - 2 and b0 + 2
+  union select at_.*, b.block_no from at_ join sg on sg.book_id = at_.book_id and o0 <= bo and bo <= o1 join b on b.book_id = at_.book_id and o0 <= b.o and b.o <= o1),
+r as (select rec_id, ca.book_id, quote, plain, abs(ca.block_no - b0) as distance, ca.block_no, case when contains(t, quote) then 1 when length(plain) >= 3 and contains(bare, plain) then 2 when length(plain) >= 12 and contains(bare, substr(plain, 1, length(plain) // 2)) then 3 end as stage from ca join b on b.book_id = ca.book_id and b.block_no = ca.block_no),
+k as (select * from r where stage is not null qualify row_number() over (partition by rec_id order by stage, least(distance, 3), block_no, distance) = 1),
+p as (select k.*, o, t, case when stage = 1 then quote else regexp_extract(t, array_to_string(list_transform(string_split(case when stage = 3 then substr(plain, 1, length(plain) // 2) else plain end, ''), lambda c: regexp_escape(c)), '{_MARKS}*')) end as part from k join b using (book_id, block_no))
+select rec_id, stage, distance, block_no, o + {U16.format("substr(t, 1, strpos(t, part) - 1)")} as start, o + {U16.format("substr(t, 1, strpos(t, part) - 1)")} + {U16.format('part')} as "end" from p"""
