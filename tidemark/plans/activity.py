@@ -130,7 +130,7 @@ ORACLES = {
     "activity_streaks": f"with {_DAYS}, r as (select user_id, day, day - row_number() over (partition by user_id order by day)::int as run from days where seconds >= 60) select user_id, min(day) as first, max(day) as last, count(*) as days from r group by user_id, run",
     "activity_sessions": _SESSIONS,
     "progress_last_writer": "select user_id, event_type, arg_max(value, [epoch_us(ts), event_id]) as value, max(ts) as ts, count(*) as writes from events group by 1, 2",
-    "shelf_sorted": "select book_id, title, coalesce(nullif(trim(author), ''), '?') as author, added_at from books where lower(concat_ws(' ', title, author)) like '%e%' order by added_at desc, book_id limit 20",
+    "shelf_sorted": "select book_id, title, coalesce(nullif(trim(author), ''), '?') as author, added_at from books where lower(concat_ws(' ', title, author)) like '%e%' order by added_at desc, book_id",
     "shelf_counts": "select lang, count(*) as books, count(cover) as covers, count(*) filter (where len is null) as running, count(*) filter (where sectioned) as sectioned from books group by 1",
     "replicas_merged": f"""select coalesce(l.item, r.item) as item, case when l.item is null or r.revision > l.revision then r.revision else l.revision end as revision, case when l.item is null or r.revision > l.revision then r.value else l.value end as value,
     case when r.item is null then 'local' when l.item is null or r.revision > l.revision then 'remote' when r.revision = l.revision and r.value is distinct from l.value then 'conflict' when r.revision = l.revision then 'same' else 'local' end as outcome
@@ -140,6 +140,10 @@ ORACLES = {
     "spans_overlaid": """with h as (select book_id, o as s, o + length(t) as e, block_no as id from blocks where k = 'h'), x as (select distinct book_id, o0 as s, o1 as e, seg as id from segs where o0 < o1)
     select * from h union all select * from x where not exists (select 1 from h where h.book_id = x.book_id and h.s < h.e and x.s < h.e and h.s < x.e)""",
     "snapshot_difference": "select book_id, seg, o0, o1 from segs except all select distinct book_id, seg, o0, o1 from segs",
+    "operations_applied": """with recursive e as materialized (select user_id as item, event_id, event_id::varchar as operation, value, event_type = 'error' as deleted, count(*) filter (where event_type = 'click') over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as expected, row_number() over (partition by user_id order by event_id) as i from events where user_id is not null),
+    w(item, i, revision, value, deleted, conflicts) as (select item, i, (expected = 0)::bigint, case when expected = 0 then value end, case when expected = 0 then deleted else false end, (expected <> 0)::bigint from e where i = 1
+      union all select e.item, e.i, w.revision + (e.expected = w.revision)::bigint, case when e.expected = w.revision then e.value else w.value end, case when e.expected = w.revision then e.deleted else w.deleted end, w.conflicts + (e.expected <> w.revision)::bigint from w join e on e.item = w.item and e.i = w.i + 1)
+    select item, revision, value, deleted, conflicts, 0::bigint as repeated from w where revision > 0 qualify row_number() over (partition by item order by i desc) = 1""",
     "stream_sessions": _SESSIONS,
     "stream_days": "select cast(ts as date) as day, event_type, count(*) as events, round(sum(coalesce(value, 0)), 4) as value from events group by 1, 2",
 }

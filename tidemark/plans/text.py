@@ -328,3 +328,19 @@ r as (select rec_id, ca.book_id, quote, plain, abs(ca.block_no - b0) as distance
 k as (select * from r where stage is not null qualify row_number() over (partition by rec_id order by stage, least(distance, 3), block_no, distance) = 1),
 p as (select k.*, o, t, case when stage = 1 then quote else regexp_extract(t, array_to_string(list_transform(string_split(case when stage = 3 then substr(plain, 1, length(plain) // 2) else plain end, ''), lambda c: regexp_escape(c)), '{_MARKS}*')) end as part from k join b using (book_id, block_no))
 select rec_id, stage, distance, block_no, o + {U16.format("substr(t, 1, strpos(t, part) - 1)")} as start, o + {U16.format("substr(t, 1, strpos(t, part) - 1)")} + {U16.format('part')} as "end" from p"""
+
+# RE2 knows no Unicode word bounds: letters beside the word are ruled out one by one, and every blank counts for both its neighbours.
+_WORDY = r"\p{L}\p{M}\p{N}_"
+_PADDED = rf"' ' || regexp_replace(lower(text), '([^{_WORDY}])', '\1\1', 'g') || ' '"
+_LANG = ", ".join(rf"len(regexp_extract_all(pad, '[^{_WORDY}]{p.replace(chr(92) + 'b', '')}[^{_WORDY}]')) as n{i}" for i, p in enumerate(X.LANGUAGE_WORDS.values()))
+_BEST = "greatest(" + ", ".join(f"n{i}" for i in range(len(X.LANGUAGE_WORDS))) + ")"
+ORACLES["doc_language"] = f"""with d as (select doc_id, {_PADDED} as pad, {", ".join(_COUNT.format("text", r) + f" as {n}" for n, r in _SCRIPTS.items())} from documents where text is not null), c as (select *, {_LANG} from d)
+select doc_id, case when kana > greatest(200.0, cjk * 0.05) then 'ja' when cjk > 200 and cjk > latin / 20 then 'zh' when {_BEST} >= {X.LEAST_WORDS} then case {" ".join(f"when n{i} = {_BEST} then '{code}'" for i, code in enumerate(X.LANGUAGE_WORDS))} end when cyrillic > 200 then 'ru' else 'en' end as detected from c"""
+ORACLES["doc_headings"] = f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as heading, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)
+select doc_id, line, heading from l where {U16.format('heading')} <= {X.HEADING_UNITS} and regexp_matches(lower(heading), '{X.HEADING}')"""
+ORACLES["packed_segments"] = f"""with recursive b as materialized (select book_id, chapter_no, block_no, o, {_U} as n, case when lang = 'zh' then 3200 else 9000 end as most, row_number() over (partition by book_id, chapter_no order by block_no) as i from blocks join books using (book_id) where k <> 'img' and t <> ''),
+w(book_id, chapter_no, i, part, size) as (select book_id, chapter_no, i, 0, n from b where i = 1 union all select b.book_id, b.chapter_no, b.i, w.part + case when w.size > 0 and w.size + n > most then 1 else 0 end, case when w.size > 0 and w.size + n > most then n else w.size + n end from w join b on b.book_id = w.book_id and b.chapter_no = w.chapter_no and b.i = w.i + 1)
+select book_id, chapter_no, part::bigint as part, min(block_no) as first_block, max(block_no) as last_block, arg_min(o, block_no) as o0, arg_max(o + n, block_no) as o1, cast(sum(n) as bigint) as units from w join b using (book_id, chapter_no, i) group by 1, 2, 3"""
+ORACLES["long_chapters"] = f"""with recursive b as materialized (select book_id, chapter_no, block_no, o, {_U} as n, row_number() over (partition by book_id, chapter_no order by block_no) as i, last_value(o + {_U}) over w - first_value(o) over w > 36000 as long from blocks window w as (partition by book_id, chapter_no order by block_no rows between unbounded preceding and unbounded following)),
+w(book_id, chapter_no, i, section, size) as (select book_id, chapter_no, i, 0, n + 1 from b where i = 1 union all select b.book_id, b.chapter_no, b.i, w.section + (w.size >= 12000)::int, case when w.size >= 12000 then 0 else w.size end + n + 1 from w join b on b.book_id = w.book_id and b.chapter_no = w.chapter_no and b.i = w.i + 1)
+select book_id, chapter_no, (case when long then section else 0 end)::bigint as section, arg_min(o, block_no) as o0, arg_max(o + n, block_no) as o1 from w join b using (book_id, chapter_no, i) group by 1, 2, 3"""
