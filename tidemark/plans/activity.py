@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import merge_overlaps, overlay
+from tidemark.operators.running import running
 from tidemark.operators.upserts import apply_operations, merge_replicas
 from tidemark.sources.tables import table
 from tidemark.streaming import activity as streams
 
 GAP = streams.GAP
+#: Microseconds of a user that are sorted together: a day.
+STRETCH = 86_400_000_000
 
 
 def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +22,11 @@ def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def credited_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of activity of each user and day: up to 90 after each touch, split at midnight."""
-    nxt = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
-    rows = _touches(spark, sf_dir).withColumn("end", F.least(F.coalesce(nxt, F.col("us") + GAP * 1_000_000), F.col("us") + GAP * 1_000_000))
+    # The next touch counts only within the gap, so it lies in the same stretch or is shown to it from the next one's first.
+    touches = _touches(spark, sf_dir).select("user_id", "event_id", "us").withColumn("cell", F.floor(F.col("us") / STRETCH))
+    shown = touches.withColumn("home", F.col("cell")).withColumn("cell", F.explode(F.when(F.col("us") % STRETCH <= GAP * 1_000_000, F.array("cell", F.col("cell") - 1)).otherwise(F.array("cell"))))
+    nxt = F.lead("us").over(Window.partitionBy("user_id", "cell").orderBy("us", "event_id"))
+    rows = shown.withColumn("end", F.least(F.coalesce(nxt, F.col("us") + GAP * 1_000_000), F.col("us") + GAP * 1_000_000)).where("home = cell")
     day = 86_400_000_000
     days = F.explode(F.sequence(F.floor(F.col("us") / day), F.floor(F.greatest(F.col("end") - 1, F.col("us")) / day)))
     parts = rows.withColumn("d", days).withColumn("n", F.least("end", (F.col("d") + 1) * day) - F.greatest("us", F.col("d") * day))
@@ -36,9 +42,10 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by gaps of more than 90 seconds."""
-    order = Window.partitionBy("user_id").orderBy("us", "event_id")
-    rows = _touches(spark, sf_dir).withColumn("new", F.coalesce(F.col("us") - F.lag("us").over(order) > GAP * 1_000_000, F.lit(True)).cast("int"))
-    rows = rows.withColumn("s", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Both steps work in two levels, by stretches of time, so a user with a third of all touches has many tasks.
+    before = running(_touches(spark, sf_dir), ["user_id"], "us", ["event_id"], "us", "before", F.max, stretch=STRETCH, inclusive=False)
+    rows = before.withColumn("new", F.coalesce(F.col("us") - F.col("before") > GAP * 1_000_000, F.lit(True)).cast("int"))
+    rows = running(rows, ["user_id"], "us", ["event_id"], "new", "s", stretch=STRETCH)
     return rows.groupBy("user_id", "s").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("touches")).select("user_id", "start", "touches")
 
 
@@ -144,6 +151,6 @@ ORACLES = {
     w(item, i, revision, value, deleted, conflicts) as (select item, i, (expected = 0)::bigint, case when expected = 0 then value end, case when expected = 0 then deleted else false end, (expected <> 0)::bigint from e where i = 1
       union all select e.item, e.i, w.revision + (e.expected = w.revision)::bigint, case when e.expected = w.revision then e.value else w.value end, case when e.expected = w.revision then e.deleted else w.deleted end, w.conflicts + (e.expected <> w.revision)::bigint from w join e on e.item = w.item and e.i = w.i + 1)
     select item, revision, value, deleted, conflicts, 0::bigint as repeated from w where revision > 0 qualify row_number() over (partition by item order by i desc) = 1""",
-    "stream_sessions": _SESSIONS,
-    "stream_days": "select cast(ts as date) as day, event_type, count(*) as events, round(sum(coalesce(value, 0)), 4) as value from events group by 1, 2",
+    "stream_sessions": f"select user_id, start, touches from ({_SESSIONS.replace('min(ts) as start,', 'min(ts) as start, max(ts) as last,')}) where last + interval 90 seconds <= (select date_trunc('millisecond', max(ts)) - interval 1 hour from events)",
+    "stream_days": "select cast(ts as date) as day, event_type, count(*) as events, round(sum(coalesce(value, 0)), 4) as value from events where cast(ts as date) + interval 1 day <= (select date_trunc('millisecond', max(ts)) - interval 1 day from events) group by 1, 2",
 }

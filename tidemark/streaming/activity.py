@@ -1,6 +1,6 @@
-"""Streams: activity sessions, day totals and the newest state by key, over file sources.
+"""Streams: activity sessions and day totals over file sources, in append mode behind a watermark.
 
-Each is written so that its batch twin gives the same rows; availableNow reads what is there in micro-batches and stops.
+Each gives the rows of its batch twin whose windows the watermark has closed; availableNow reads what is there in micro-batches and stops.
 """
 
 from __future__ import annotations
@@ -38,24 +38,19 @@ def day_totals(events: DataFrame) -> DataFrame:
     return rows.select(F.col("w.start").cast("date").alias("day"), "event_type", "events", "value")
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that the stream gives for the files there now, as a table; state and offsets go to the session's shared folder."""
+def drain(stream: DataFrame) -> DataFrame:
+    """What the stream gives for good for the files there now, as a table; state and offsets go to the session's shared folder.
+
+    Append mode: a window comes out once, when the watermark has passed its end, and its state is dropped then; so state stays as small as the windows that are
+    still open, and rows later than the watermark are left out. Open windows come out when later files move the watermark.
+    """
     from tidemark.session import ensure_checkpoint_dir
 
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     name = f"drained_{uuid.uuid4().hex}"
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if mode == "complete":
-        written = f"{root}/{name}_table"
-
-        def keep(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(written)
-
-        query = stream.writeStream.outputMode("complete").foreachBatch(keep)
-    else:
-        written = f"{root}/{name}_table"
-        query = stream.writeStream.outputMode("append").format("parquet").option("path", written)
-    query = query.option("checkpointLocation", f"{root}/{name}_state").trigger(availableNow=True).start()
+    written = f"{root}/{name}_table"
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", written).option("checkpointLocation", f"{root}/{name}_state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(written)
