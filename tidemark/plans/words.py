@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import words as W
+from tidemark.operators import fold
 from tidemark.operators.intervals import merge_overlaps
-from tidemark.plans.log import U16
+from tidemark.operators.running import within_spans
+from tidemark.plans.log import CARD, CHAPTERS, LG, U16, _chapters, _log
+from tidemark.sources import formats
 from tidemark.sources.tables import log_records, table
 
 #: Works shorter than this, in UTF-16 units, are none.
@@ -105,7 +108,57 @@ def label_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", same).select("book_id", "key", F.when(F.col("n") > 1, F.concat("phrase", F.lit(" ["), "key", F.lit("]"))).otherwise(F.col("phrase")).alias("label"))
 
 
+def unframed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the frames of a licence, with the title and author of its header; the body as its hash."""
+    body, title, author = formats.unframed_columns(F.col("text"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(body).alias("md5"), title.alias("title"), author.alias("author"))
+
+
+def plain_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without editor's notes and readings, as hash; and whether each is an annotated Japanese text."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", formats.is_annotated(text).alias("annotated"), F.md5(formats.without_readings(text)).alias("md5"))
+
+
+def verbatim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the text at a relation's place is its quote, unit by unit; a place inside a surrogate pair holds none."""
+    quotes = log_records(spark, sf_dir, "rel").where("quote <> '' and s is not null").select("rec_id", "book_id", "s", "quote").distinct()
+    blocks = table(spark, sf_dir, "blocks").where("t <> ''").select("book_id", "o", "t").withColumn("end", F.col("o") + X.u16_length(F.col("t")))
+    at = within_spans(quotes, blocks, "book_id", "s", "o", "end").withColumn("i", F.col("s") - F.col("o"))
+    part = W.strict_slice(F.col("t"), F.col("i"), F.col("i") + X.u16_length(F.col("quote")))
+    return at.select("rec_id", F.coalesce(part == F.col("quote"), F.lit(False)).alias("verbatim"))
+
+
+def event_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the title of the chapter they lie in: the last one that begins at or before them."""
+    titles = table(spark, sf_dir, "blocks").where("k = 'h'").groupBy("book_id", "chapter_no").agg(F.min_by("t", "block_no").alias("title"))
+    events = log_records(spark, sf_dir, "event").where("p is not null").select("book_id", "rec_id", "p").distinct()
+    return within_spans(events, _chapters(spark, sf_dir), "book_id", "p", "o0", "end").join(titles, ["book_id", "chapter_no"], "left").select("rec_id", "chapter_no", "title")
+
+
+def work_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the work begins that holds each event: 0 where the book is no collection."""
+    events = log_records(spark, sf_dir, "event").where("p is not null").select("book_id", "rec_id", "p").distinct()
+    works = collected_works(spark, sf_dir).withColumn("end", F.col("e") + 1)
+    inside = within_spans(events, works, "book_id", "p", "s", "end").groupBy("rec_id").agg(F.max("s").alias("start"))
+    return events.join(inside, "rec_id", "left").select("rec_id", F.coalesce("start", F.lit(0)).cast("long").alias("start"))
+
+
+def attribute_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes with key and value as facts: who it is about, by the name and tagline on the card."""
+    log = _log(spark, sf_dir, "person", "name", "profile", "imp", "cnt", "attr")
+    cards = fold.people(log).select("book_id", "id", "name", "tagline")
+    rows = log.where("t = 'attr' and trim(attr_key) <> '' and trim(attr_value) <> ''").select("book_id", "rec_id", "id", "attr_key", "attr_value").distinct()
+    return rows.join(cards, ["book_id", "id"]).select("rec_id", "name", "tagline", "attr_key", "attr_value")
+
+
 QUERIES = {
+    "doc_unframed": unframed_documents,
+    "doc_readings": plain_readings,
+    "quotes_verbatim": verbatim_quotes,
+    "event_titles": event_titles,
+    "work_starts": work_starts,
+    "attribute_facts": attribute_facts,
     "text_full_width": full_width_texts,
     "heading_numbers": heading_numbers,
     "collected_works": collected_works,
@@ -179,3 +232,16 @@ ORACLES = {
     p as (select book_id, key, case when d <> '' then substr(string_split(array_to_string(regexp_split_to_array(d, '\s+')[1:16], ' '), ' (')[1], 1, 160) else translate(key, '_-', '  ') end as phrase from r)
     select book_id, key, case when count(*) over (partition by book_id, phrase) > 1 then phrase || ' [' || key || ']' else phrase end as label from p""",
 }
+_START, _END = (rf"\*\*\*\s*{word} OF (?:THE|THIS) PROJECT GUTENBERG[^\n]*" for word in ("START", "END"))
+_HEAD_PART = rf"regexp_extract(text, '(?is)^(.*?)(?m:^){_START}', 1)"
+_FRAMED = rf"regexp_matches(text, '(?im)^{_START}')"
+_BODY = rf"regexp_replace(regexp_replace(text, '(?is)^.*?(?m:^){_START}', ''), '(?is)(?m:^){_END}.*$', '')"
+ORACLES["doc_unframed"] = f"select doc_id, md5(case when {_FRAMED} then {_BODY} else text end) as md5, case when {_FRAMED} then trim(regexp_extract({_HEAD_PART}, '{formats.TITLE_LINE}', 1)) else '' end as title, case when {_FRAMED} then trim(regexp_extract({_HEAD_PART}, '{formats.AUTHOR_LINE}', 1)) else '' end as author from documents where text is not null"
+ORACLES["doc_readings"] = rf"""select doc_id, contains(substr(text, 1, 4000), '［＃') and (contains(substr(text, 1, 4000), '《') or contains(text, '{formats.COLOPHON}')) as annotated,
+md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)(?:^|\n){formats.COLOPHON}.*$', ''), '{formats.NOTE}', '', 'g'), '{formats.BAR}', '', 'g'), '{formats.READING}', '', 'g')) as md5 from documents where text is not null"""
+ORACLES["quotes_verbatim"] = f"""with q as (select distinct rec_id, book_id, s, quote from kg_log where t = 'rel' and quote <> '' and s is not null), b as (select book_id, o, t, {U16.format('t')} as n from blocks where t <> ''),
+a as (select rec_id, quote, t, s - o as i from q join b on b.book_id = q.book_id and o <= s and s < o + n), c as (select *, i - length(regexp_replace(substr(t, 1, i), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) as low from a)
+select rec_id, len(list_filter(range(greatest(low, 0), i + 1), lambda c: c + length(regexp_replace(substr(t, 1, c), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) = i and substr(t, c + 1, length(quote)) = quote)) > 0 as verbatim from c"""
+ORACLES["event_titles"] = f"with {CHAPTERS}, h as (select book_id, chapter_no, arg_min(t, block_no) as title from blocks where k = 'h' group by 1, 2), e as (select distinct book_id, rec_id, p from kg_log where t = 'event' and p is not null) select rec_id, ch.chapter_no, title from e join ch on ch.book_id = e.book_id and ch.o0 <= p and p < ch.e left join h on h.book_id = ch.book_id and h.chapter_no = ch.chapter_no"
+ORACLES["work_starts"] = f"with cw as ({ORACLES['collected_works']}), e as (select distinct book_id, rec_id, p from kg_log where t = 'event' and p is not null) select rec_id, coalesce(max(s), 0) as start from e left join cw on cw.book_id = e.book_id and s <= p and p <= cw.e group by 1"
+ORACLES["attribute_facts"] = LG + CARD + ", a as (select distinct book_id, rec_id, id, attr_key, attr_value from lg where t = 'attr' and trim(attr_key) <> '' and trim(attr_value) <> '') select rec_id, name, tagline, attr_key, attr_value from a join card using (book_id, id)"

@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import html.parser
-import io
-import posixpath
 import re
-import xml.etree.ElementTree as ET
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import HEADING, u16_length
+from tidemark.sources.formats import COLOPHON, Package, annotated_blocks, unframed
 
 #: Encodings that are tried in turn where no mark tells.
 ENCODINGS = ("utf-8-sig", "gb18030", "big5")
@@ -89,25 +86,30 @@ def html_blocks(source: str) -> list[tuple[str, str, str | None]]:
 
 
 def epub_blocks(raw: bytes) -> list[tuple[str, str, str | None]]:
-    """Blocks of the chapters of an EPUB in reading order; raises ValueError for what is none."""
-    try:
-        files = zipfile.ZipFile(io.BytesIO(raw))
-        root = ET.fromstring(files.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
-        package = ET.fromstring(files.read(root))
-    except (zipfile.BadZipFile, KeyError, AttributeError, ET.ParseError) as error:
-        raise ValueError("not an EPUB") from error
-    hrefs = {i.get("id"): i.get("href") for i in package.iterfind(".//{*}manifest/{*}item")}
+    """Blocks of the chapters of an EPUB in reading order, each chapter that the contents name under a heading; raises ValueError for what is none."""
+    package = Package(raw)
+    titles: dict[str, str] = {}
+    for title, _, path, _ in package.contents():
+        titles.setdefault(path, title)
     out: list[tuple[str, str, str | None]] = []
-    for item in package.iterfind(".//{*}spine/{*}itemref"):
-        name = posixpath.normpath(posixpath.join(posixpath.dirname(root), hrefs.get(item.get("idref"), "")))
-        if name in files.namelist():
-            out += html_blocks(decode(files.read(name)))
+    for path in package.spine():
+        blocks = html_blocks(decode(package.files.read(path)))
+        if (title := titles.get(path)) and not any(kind == "h" for kind, _, _ in blocks[:3]):
+            out.append(("h", title, None))
+        out += blocks
     return out
 
 
+def plain_blocks(text: str) -> list[tuple[str, str, str | None]]:
+    """Blocks of a plain text: Japanese ones without notes and readings, others without the frames of a licence."""
+    if "［＃" in text[:4000] and ("《" in text[:4000] or COLOPHON in text):
+        return annotated_blocks(text)[2]
+    return text_blocks(unframed(text)[0])
+
+
 def parse(name: str, raw: bytes) -> list[tuple[str, str, str | None]]:
     kind = name.rpartition(".")[2].lower()
-    return epub_blocks(raw) if kind == "epub" else html_blocks(decode(raw)) if kind in ("html", "htm", "xhtml") else text_blocks(decode(raw))
+    return epub_blocks(raw) if kind == "epub" else html_blocks(decode(raw)) if kind in ("html", "htm", "xhtml") else plain_blocks(decode(raw))
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
