@@ -232,10 +232,9 @@ ORACLES = {
     p as (select book_id, key, case when d <> '' then substr(string_split(array_to_string(regexp_split_to_array(d, '\s+')[1:16], ' '), ' (')[1], 1, 160) else translate(key, '_-', '  ') end as phrase from r)
     select book_id, key, case when count(*) over (partition by book_id, phrase) > 1 then phrase || ' [' || key || ']' else phrase end as label from p""",
 }
-_START, _END = (rf"\*\*\*\s*{word} OF (?:THE|THIS) PROJECT GUTENBERG[^\n]*" for word in ("START", "END"))
-_HEAD_PART = rf"regexp_extract(text, '(?is)^(.*?)(?m:^){_START}', 1)"
-_FRAMED = rf"regexp_matches(text, '(?im)^{_START}')"
-_BODY = rf"regexp_replace(regexp_replace(text, '(?is)^.*?(?m:^){_START}', ''), '(?is)(?m:^){_END}.*$', '')"
+_HEAD_PART = f"regexp_extract(text, '(?is)^(.*?){formats.FRAME_START}', 1)"
+_FRAMED = f"regexp_matches(text, '(?i){formats.FRAME_START}')"
+_BODY = f"regexp_replace(regexp_replace(text, '(?is)^.*?{formats.FRAME_START}', ''), '(?is){formats.FRAME_END}.*$', '')"
 ORACLES["doc_unframed"] = f"select doc_id, md5(case when {_FRAMED} then {_BODY} else text end) as md5, case when {_FRAMED} then trim(regexp_extract({_HEAD_PART}, '{formats.TITLE_LINE}', 1)) else '' end as title, case when {_FRAMED} then trim(regexp_extract({_HEAD_PART}, '{formats.AUTHOR_LINE}', 1)) else '' end as author from documents where text is not null"
 ORACLES["doc_readings"] = rf"""select doc_id, contains(substr(text, 1, 4000), '［＃') and (contains(substr(text, 1, 4000), '《') or contains(text, '{formats.COLOPHON}')) as annotated,
 md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)(?:^|\n){formats.COLOPHON}.*$', ''), '{formats.NOTE}', '', 'g'), '{formats.BAR}', '', 'g'), '{formats.READING}', '', 'g')) as md5 from documents where text is not null"""

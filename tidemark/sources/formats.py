@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The lines that frame a licensed text, its fields, and the notes and readings of Japanese texts.
-FRAME_START = r"(?im)^\*\*\*\s*START OF (?:THE|THIS) PROJECT GUTENBERG.*$"
-FRAME_END = r"(?im)^\*\*\*\s*END OF (?:THE|THIS) PROJECT GUTENBERG.*$"
+FRAME = r"(?m:^)\*\*\*\s*{} OF (?:THE|THIS) PROJECT GUTENBERG[^\n]*"
+FRAME_START, FRAME_END = FRAME.format("START"), FRAME.format("END")
 TITLE_LINE, AUTHOR_LINE = r"(?m)^Title:\s*(.+)$", r"(?m)^Author:\s*(.+)$"
 NOTE, READING, BAR = "［＃[^］]*］", "《[^》]*》", "[｜|]"
 NOTE_HEADING = "［＃[^］]*(大|中|小)見出し[^］]*］"
@@ -25,20 +25,20 @@ HEADING_CHARS = 40
 
 def unframed(text: str) -> tuple[str, str, str]:
     """Text between the licence's frames, title and author of its header; a text without frames as it is."""
-    start = re.search(FRAME_START, text)
+    start = re.search(FRAME_START, text, re.IGNORECASE)
     if not start:
         return text, "", ""
     head, body = text[: start.start()], text[start.end() :]
-    end = re.search(FRAME_END, body)
+    end = re.search(FRAME_END, body, re.IGNORECASE)
     fields = [m[1].strip() if (m := re.search(p, head)) else "" for p in (TITLE_LINE, AUTHOR_LINE)]
     return body[: end.start()] if end else body, *fields
 
 
 def unframed_columns(text: Column) -> tuple[Column, Column, Column]:
     """The same as column expressions: body, title, author."""
-    framed = text.rlike(FRAME_START)
-    head, rest = F.regexp_extract(text, "(?is)^(.*?)" + FRAME_START[4:].replace("^", r"(?m:^)").replace(".*$", r"[^\n]*"), 1), F.regexp_replace(text, "(?is)^.*?" + FRAME_START[4:].replace("^", r"(?m:^)").replace(".*$", r"[^\n]*"), "")
-    body = F.regexp_replace(rest, "(?is)" + FRAME_END[4:].replace("^", r"(?m:^)").replace(".*$", r"[^\n]*") + ".*$", "")
+    framed = text.rlike("(?i)" + FRAME_START)
+    head, rest = F.regexp_extract(text, f"(?is)^(.*?){FRAME_START}", 1), F.regexp_replace(text, f"(?is)^.*?{FRAME_START}", "")
+    body = F.regexp_replace(rest, f"(?is){FRAME_END}.*$", "")
     field = lambda p: F.when(framed, F.trim(F.regexp_extract(head, p, 1))).otherwise(F.lit(""))
     return F.when(framed, body).otherwise(text), field(TITLE_LINE), field(AUTHOR_LINE)
 
