@@ -69,9 +69,10 @@ class _Text:
 
     def cue_words(self, part: str) -> set[str]:
         """Words of a part in lower case; runs of ideographs, which have no word bounds, as their pairs."""
-        words = {w.lower() for w in self.word.findall(self.han.sub(" ", part))}
-        for run in self.han.findall(part):
-            words |= {run[i : i + 2] for i in range(max(1, len(run) - 1))}
+        runs = self.han.findall(part)
+        words = set(self.word.findall((self.han.sub(" ", part) if runs else part).lower()))
+        for run in runs:
+            words.update(map("".join, zip(run, run[1:])) if len(run) > 1 else run)
         return words
 
     def cue_size(self, part: str, cues: set[str]) -> tuple[int, int]:
@@ -238,8 +239,9 @@ def fragment_words(docs: DataFrame, limits: Limits = LIMITS) -> set[str]:
         for batch in batches:
             for text in batch["text"]:
                 sentences, fragments = t.parts(text)
-                inside.update(set().union(*map(t.cue_words, sentences)))
-                outside.update(set().union(*map(t.cue_words, fragments)))
+                # One line each: no word and no pair of ideographs crosses the end of a line.
+                inside.update(t.cue_words("\n".join(sentences)))
+                outside.update(t.cue_words("\n".join(fragments)))
                 texts += 1
             if len(inside) + len(outside) > 500_000:
                 yield flush()
