@@ -84,9 +84,15 @@ class _Text:
             total, found = total + len(run), found + len(places)
         return total, found
 
+    def marked(self, text: str) -> str:
+        """The text with a character in place of each link and tag; the patterns are only tried where what they need occurs."""
+        if "/" in text or "www." in text or "<a" in text:
+            text = self.link.sub(LINK, text)
+        return self.tag.sub(TAG, text) if "#" in text or "＃" in text else text
+
     def evidence(self, text: str, cues: set[str]) -> bool:
         """Whether any link, tag or fragment word occurs; the words of the parts are among those of the whole text."""
-        return bool(self.tag.search(text) or self.link.search(text)) or not cues.isdisjoint(self.cue_words(text))
+        return self.marked(text) != text or not cues.isdisjoint(self.cue_words(text))
 
     def size(self, part: str) -> int:
         """Characters of a part; an ideograph counts as two, a link or tag as a fixed length."""
@@ -95,7 +101,7 @@ class _Text:
     def parts(self, text: str) -> tuple[list[str], list[str]]:
         """Sentences (and contents lines) and other fragments of a text, links and tags replaced by one character each."""
         sentences, fragments = [], []
-        for line in self.tag.sub(TAG, self.link.sub(LINK, text)).split("\n"):
+        for line in self.marked(text).split("\n"):
             if self.contents.search(line):
                 sentences.append(line)
                 continue
