@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a name by which it is looked up; longer keys make smaller groups.
-KEY = 4
+#: Characters of a name by which it is looked up, and of a long one; longer keys make smaller groups ("the tall clerk of Wick" shares four with every epithet).
+KEY, LONG = 4, 12
+_LENGTHS = (*range(2, KEY + 1), LONG)
 
 
 def _key(name: Column) -> Column:
-    """The first characters of a name, at most KEY of them."""
-    return F.substring(name, 1, KEY)
+    """The first characters of a name: LONG of a long one, at most KEY of others."""
+    return F.when(F.length(name) >= LONG, F.substring(name, 1, LONG)).otherwise(F.substring(name, 1, KEY))
 
 
 def _parts(name: Column) -> Column:
-    """Every part of a text that can be the key of a name inside it: of two to KEY characters, where shorter ones must be whole names."""
+    """Every part of a text that can be the key of a name inside it; those shorter than KEY must be whole names."""
     ends = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*(ends(n) for n in range(2, KEY + 1))))
+    return F.array_distinct(F.concat(*map(ends, _LENGTHS)))
 
 
 def names_in_texts(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str) -> DataFrame:
     """Rows of texts joined to the names of their scope (two characters or more) that occur in them. Null texts and names match nothing.
 
-    A name of KEY characters or more is looked up by its first KEY characters, a shorter one by itself, among the parts of the
-    texts; so a pair is only compared where it begins alike. Columns of both sides must differ but for the scope.
+    A name is looked up by its first characters, a short one by itself, among the parts of the texts; so a pair is only compared where it begins alike. Columns of both sides must differ but for the scope.
     """
     keyed = names.where(F.length(name) >= 2).withColumn("_key", _key(F.col(name)))
-    parts = texts.where(F.length(text) >= 2).withColumn("_key", F.explode(_parts(F.col(text))))
-    return parts.join(keyed, [scope, "_key"]).where(F.col(text).contains(F.col(name))).drop("_key")
+    marked = texts.where(F.length(text) >= 2).withColumn("_h", F.xxhash64(scope, text))
+    # Only hashes and keys are shuffled; texts are joined to what was found, and compared there.
+    parts = marked.select(scope, "_h", F.explode(_parts(F.col(text))).alias("_key"))
+    found = parts.join(keyed, [scope, "_key"]).drop("_key").distinct()
+    return marked.join(found, [scope, "_h"]).drop("_h").where(F.col(text).contains(F.col(name)))
 
 
 def contained_names(left: DataFrame, right: DataFrame, scope: str = "book_id") -> DataFrame:
@@ -44,11 +47,12 @@ def whole_words(texts: DataFrame, names: DataFrame, scope: str, text: str, name:
     Long texts are looked up by their word beginnings only, not by all their parts; names of Han characters by every ideograph. Names that begin with
     neither a letter nor a digit match nothing.
     """
-    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?<![A-Za-z])(?=([\p{{L}}\p{{N}}].{{0,{KEY - 1}}}))"), F.lit(1)))
-    # The ends of names shorter than a key are words by themselves.
-    short = F.flatten(F.transform(starts, lambda s: F.array(*(F.substring(s, 1, n) for n in range(2, KEY)))))
+    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?<![A-Za-z])(?=([\p{{L}}\p{{N}}].{{0,{LONG - 1}}}))"), F.lit(1)))
+    keys = F.flatten(F.transform(starts, lambda s: F.array(*(F.substring(s, 1, n) for n in _LENGTHS))))
     keyed = names.where(F.length(name) >= 2).withColumn("_key", _key(F.col(name)))
-    parts = texts.withColumn("_key", F.explode(F.array_distinct(F.concat(starts, short))))
+    marked = texts.where(F.length(text) >= 2).withColumn("_h", F.xxhash64(scope, text))
+    parts = marked.select(scope, "_h", F.explode(F.array_distinct(keys)).alias("_key"))
+    found = parts.join(keyed, [scope, "_key"]).drop("_key").distinct()
     pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), F.col(name), F.lit(r"\E(?![A-Za-z])"))
-    hits = parts.join(keyed, [scope, "_key"]).drop("_key").where(F.col(text).contains(F.col(name)))
+    hits = marked.join(found, [scope, "_h"]).drop("_h").where(F.col(text).contains(F.col(name)))
     return hits.withColumn("place", F.regexp_instr(text, pattern)).where("place > 0").withColumn("times", F.regexp_count(text, pattern))

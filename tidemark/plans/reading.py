@@ -115,7 +115,7 @@ def model_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def models_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that two families of models place at the same passage of a book: a full outer join of their passages."""
-    rows = log_records(spark, sf_dir, "event").where("s is not null and model is not null").select("book_id", "s", F.when(F.col("model").startswith("quill"), "a").otherwise("b").alias("side"), F.size(F.array_distinct("who")).alias("people"))
+    rows = log_records(spark, sf_dir, "event").where("s is not null and model is not null").select("book_id", "s", F.when(F.col("model").startswith("quill"), "a").otherwise("b").alias("side"), F.coalesce(F.size(F.array_distinct("who")), F.lit(-1)).alias("people"))
     one, two = (rows.where(F.col("side") == x).groupBy("book_id", "s").agg(F.max("people").alias(f"people_{x}")) for x in "ab")
     joined = one.join(two, ["book_id", "s"], "full")
     return joined.groupBy("book_id").agg(F.count(F.lit(1)).alias("passages"), F.count(F.when(F.col("people_a").isNotNull() & F.col("people_b").isNotNull(), 1)).alias("common"), F.count(F.when(F.col("people_a") == F.col("people_b"), 1)).alias("same"))
