@@ -6,8 +6,6 @@ max_by, which combines before it shuffles, so a hot person costs no more than th
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,27 +71,31 @@ def merge_map(log: DataFrame) -> DataFrame:
 def canonical(merges: DataFrame) -> DataFrame:
     """book_id, id, canon: where following the merges from each merged id ends; on a cycle, at the first id met again.
 
-    Pointer doubling: the table of targets is joined with itself, so a chain of n merges takes log2(n) rounds. What still moves after as many rounds as
-    the longest possible chain needs has a cycle ahead; its targets are exactly the members of cycles. They stay where they are, and become the ends of what leads to them.
+    Pointer doubling: the table of targets is joined with itself, so a chain of n merges takes log2(n) rounds. Where something moves for ever there are
+    cycles: once the targets of what moves stay as many from one round to the next, they are exactly the members of cycles. These stay where they
+    are, and become the ends of what leads to them.
     """
-    step = cut(merges.select("book_id", "id", F.col("into_id").alias("to")))
+    own = merges.where("id = into_id").select("book_id", "id", F.col("id").alias("canon"))
+    step = cut(merges.where("id <> into_id").select("book_id", "id", F.col("into_id").alias("to")))
     jump, moving = _doubled(step)
-    if not moving:
-        return jump.select("book_id", "id", F.col("to").alias("canon"))
-    rings = cut(jump.where("going").select("book_id", F.col("to").alias("id")).distinct())
-    rest, _ = _doubled(step.join(rings, ["book_id", "id"], "left_anti"))
-    return rest.select("book_id", "id", F.col("to").alias("canon")).unionByName(rings.select("book_id", "id", F.col("id").alias("canon")))
-
-
-def _doubled(step: DataFrame) -> tuple[DataFrame, bool]:
-    """book_id, id, to, going after doubling until nothing moves, or until only what leads into a cycle does; and whether anything still moves."""
-    rounds = math.ceil(math.log2(step.count() + 2)) + 1
-    jump, moving = step.withColumn("going", F.lit(True)), True
-    while moving and rounds:
+    if moving:
+        rings = cut(jump.where("going").select("book_id", F.col("to").alias("id")).distinct())
+        rest, _ = _doubled(step.join(rings, ["book_id", "id"], "left_anti"))
+        own = own.unionByName(rings.select("book_id", "id", F.col("id").alias("canon")))
+        jump = rest
+    return jump.select("book_id", "id", F.col("to").alias("canon")).unionByName(own)
+
+
+def _doubled(step: DataFrame) -> tuple[DataFrame, int]:
+    """book_id, id, to, going after doubling until nothing moves, or until only cycles move; and how many targets still move."""
+    jump, before = step.withColumn("going", F.lit(True)), -1
+    while True:
         ahead = jump.select("book_id", F.col("id").alias("to"), F.col("to").alias("further"))
         jump = cut(jump.select("book_id", "id", "to").join(ahead, ["book_id", "to"], "left").select("book_id", "id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("going")))
-        moving, rounds = not jump.where("going").isEmpty(), rounds - 1
-    return jump, moving
+        moving = jump.where("going").select("book_id", "to").distinct().count()
+        if moving in (0, before):
+            return jump, moving
+        before = moving
 
 
 def with_canon(rows: DataFrame, canon: DataFrame, column: str, out: str) -> DataFrame:
