@@ -5,8 +5,8 @@ take one hop per time step, so a vertex joins the cluster that reaches it first;
 contracted to one super-vertex; the edges that still run between clusters go to the next level.  The
 assignments of the levels are composed at the end.  Each level removes a constant share of the edges in
 expectation, whatever the shape of the groups (a chain of a million links needs no million steps), and every
-step is a join and an aggregation by vertex: no group is ever held in one task. The joins are sort-merge joins by hint, as
-labels and clusters grow with the data and are never broadcast.
+step is a join and an aggregation by vertex: no group is ever held in one task. The joins are shuffled hash joins by hint, as
+labels and clusters grow with the data and are never broadcast; each has one row per vertex, so no key of the hashed side is hot.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def _grow(edges: DataFrame, level: int, beta: float, hops: int) -> DataFrame:
     """v, c: the cluster (named by its centre) that reaches each vertex first. edges holds both directions, and each vertex's way to itself with a hop of 0."""
     label = edges.where("hop = 0").select(F.col("w"), F.struct(_start("w", level, beta).alias("at"), F.col("w").alias("c")).alias("first"))
     for _ in range(hops):
-        reached = edges.join(label.hint("merge"), "w").select("v", F.struct((F.col("first.at") + F.col("hop")).alias("at"), F.col("first.c").alias("c")).alias("first"))
+        reached = edges.join(label.hint("shuffle_hash"), "w").select("v", F.struct((F.col("first.at") + F.col("hop")).alias("at"), F.col("first.c").alias("c")).alias("first"))
         label = reached.groupBy("v").agg(F.min("first").alias("first")).withColumnRenamed("v", "w")
     return label.select(F.col("w").alias("v"), F.col("first.c").alias("c"))
 
@@ -58,12 +58,12 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", beta: float =
         cluster = cut(_grow(edges, len(levels), beta, hops))
         levels.append(cluster)
         here, there = cluster.select("v", F.col("c").alias("cv")), cluster.select(F.col("v").alias("w"), F.col("c").alias("cw"))
-        between = edges.where("hop = 1 and v < w").join(here.hint("merge"), "v").join(there.hint("merge"), "w").where("cv <> cw")
+        between = edges.where("hop = 1 and v < w").join(here.hint("shuffle_hash"), "v").join(there.hint("shuffle_hash"), "w").where("cv <> cw")
         edges = cut(_both_ways(between.select(F.col("cv").alias("v"), F.col("cw").alias("w"))))
     if not levels:
         return empty
     top = levels[-1]
     for lower in reversed(levels[:-1]):  # compose: a super-vertex without edges at the next level keeps its own name
-        top = lower.join(top.select(F.col("v").alias("c"), F.col("c").alias("cc")).hint("merge"), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
+        top = lower.join(top.select(F.col("v").alias("c"), F.col("c").alias("cc")).hint("shuffle_hash"), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
     least = top.groupBy("c").agg(F.min("v").alias("group_id"))
-    return top.join(least.hint("merge"), "c").select(F.col("v").alias("member"), "group_id")
+    return top.join(least.hint("shuffle_hash"), "c").select(F.col("v").alias("member"), "group_id")
