@@ -224,8 +224,11 @@ def split_segments(segs: DataFrame, blocks: DataFrame, limits: Limits = LIMITS)
     successors = jump
     reached = over.select(*keys, F.col("o0").alias("pos"))
     longest = over.agg(F.max((F.col("o1") - F.col("o0")) / F.greatest(F.col("lim") - 2 * limits.overlap, F.lit(1)))).first()[0]
-    for _ in range(math.ceil(math.log2(2 * longest + 4)) if longest else 0):
+    rounds = math.ceil(math.log2(2 * longest + 4)) if longest else 0
+    for left in reversed(range(rounds)):
         reached = cut(reached.unionByName(reached.join(jump, [*keys, "pos"]).select(*keys, F.col("to").alias("pos"))).distinct())
+        if not left:
+            break
         ahead = jump.select(*keys, F.col("pos").alias("to"), F.col("to").alias("further"))
         jump = cut(jump.join(ahead, [*keys, "to"]).select(*keys, "pos", F.col("further").alias("to")))
     pieces = reached.join(successors, [*keys, "pos"]).join(starts.distinct(), [*keys, "pos"]).select(*keys, F.col("start").alias("o0"), F.col("to").alias("o1"))
