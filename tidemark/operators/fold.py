@@ -45,6 +45,11 @@ def _effective(log: DataFrame, persons: DataFrame, held: bool) -> DataFrame:
     return rows.where("greatest(seq, first) >= last and (seq > last or first = last)" if held else "seq > last")
 
 
+def effective(log: DataFrame, kind: str) -> DataFrame:
+    """Records of one type about introduced persons that count, with ``eff``, where they take effect: those before the introduction right after it, those before a reset never."""
+    return _effective(log.where((F.col("t") == kind) & F.col("id").isNotNull()), introductions(log), True)
+
+
 def people(log: DataFrame) -> DataFrame:
     """book_id, id, name, tagline, bio, imp, n: the card of every introduced person, before merges.
 

@@ -108,6 +108,21 @@ def world_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.world_attributes(_log(spark, sf_dir, "person", "attr", "merge"))
 
 
+def attribute_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of each attribute of an introduced person, by position: its number, the value before, and where the next one begins."""
+    rows = fold.effective(_log(spark, sf_dir, "person", "attr"), "attr").where("attr_key is not null").select("book_id", "id", "rec_id", F.lower(F.trim("attr_key")).alias("key"), "attr_value", "p", "eff").distinct()
+    order = Window.partitionBy("book_id", "id", "key").orderBy("p", "eff", "rec_id")
+    return rows.select("rec_id", "book_id", "id", "key", "attr_value", F.row_number().over(order).cast("long").alias("version"), F.lag("attr_value").over(order).alias("was"), F.lead("p").over(order).alias("until"))
+
+
+def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the persons that are left after merges: each event once for all ids that became one person."""
+    log = _log(spark, sf_dir, "person", "name", "profile", "imp", "cnt", "merge", "event")
+    rows = fold.members(fold.introductions(log).select("book_id", "id"), cut(fold.merge_map(log))).select("book_id", "id", "to")
+    who = log.where("t = 'event'").select("book_id", "rec_id", "p", "imp", F.explode("who").alias("id")).join(rows, ["book_id", "id"]).select("book_id", "rec_id", "p", "imp", F.col("to").alias("id")).distinct()
+    return who.groupBy("book_id", "id").agg(F.count(F.lit(1)).alias("events"), F.count(F.when(F.col("imp") >= 2, 1)).alias("important"), F.min("p").alias("first_p"), F.max("p").alias("last_p"))
+
+
 def canon_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where following the merges from each merged id ends."""
     return fold.canonical(cut(fold.merge_map(_log(spark, sf_dir, "merge"))))
@@ -242,9 +257,10 @@ def never_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records about a person that precede its introduction, by type."""
-    log = log_records(spark, sf_dir, "person", "name", "alias", "attr", "profile", "imp").where("p is not null and id is not null").select("book_id", "id", "rec_id", "t", F.expr(fold.SEQ).alias("seq")).distinct()
-    return log.where("t <> 'person'").join(fold.introductions(log), ["book_id", "id"]).where("seq < first").groupBy("book_id", "t").agg(F.count(F.lit(1)).alias("held"))
+    """Records that arrive before the introduction of their person and are held until then, by type; and how many of them the introduction precedes by position."""
+    log = log_records(spark, sf_dir, "person", "name", "alias", "attr", "profile", "imp").where("ord is not null and id is not null").select("book_id", "id", "rec_id", "t", "ord", "p").distinct()
+    first = log.where("t = 'person'").groupBy("book_id", "id").agg(F.min("ord").alias("first"), F.min("p").alias("entry"))
+    return log.where("t <> 'person'").join(first, ["book_id", "id"]).where("ord < first").groupBy("book_id", "t").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(F.col("p") >= F.col("entry"), 1)).alias("after_entry"))
 
 
 def late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +330,8 @@ QUERIES = {
     "log_fold_world": fold_world,
     "log_world_aliases": world_aliases,
     "log_world_attributes": world_attributes,
+    "log_attribute_history": attribute_history,
+    "log_canonical_events": canonical_events,
     "log_canon_chain": canon_chain,
     "log_current_attributes": current_attributes,
     "log_attribute_conflicts": attribute_conflicts,
@@ -398,8 +416,12 @@ ORACLES = {
     "log_recaps": _L + " select book_id, chapter, arg_max(text, seq) as text, count(*) as versions from lg where t = 'recap' and chapter is not null and text is not null group by 1, 2",
     "log_cooccurring": "with " + _PAIRS + " select * from pairs",
     "log_never_together": _L + ", " + _PAIRS + " select distinct lg.book_id, least(a, b) as a, greatest(a, b) as b from lg where t = 'rel' and a <> b and not exists (select 1 from pairs q where q.book_id = lg.book_id and q.a = least(lg.a, lg.b) and q.b = greatest(lg.a, lg.b))",
-    "log_held_records": """with l as (select distinct book_id, id, rec_id, t, p * 4294967296 + coalesce(ord, 0) as seq from kg_log where t in ('person', 'name', 'alias', 'attr', 'profile', 'imp') and p is not null and id is not null),
-    f as (select book_id, id, min(seq) as f from l where t = 'person' group by 1, 2) select book_id, t, count(*) as held from l join f using (book_id, id) where t <> 'person' and seq < f group by 1, 2""",
+    "log_held_records": """with l as (select distinct book_id, id, rec_id, t, ord, p from kg_log where t in ('person', 'name', 'alias', 'attr', 'profile', 'imp') and ord is not null and id is not null),
+    f as (select book_id, id, min(ord) as f, min(p) as entry from l where t = 'person' group by 1, 2) select book_id, t, count(*) as held, count(*) filter (where p >= entry) as after_entry from l join f using (book_id, id) where t <> 'person' and ord < f group by 1, 2""",
+    "log_attribute_history": _L + " select rec_id, book_id, id, lower(trim(attr_key)) as key, attr_value, row_number() over w as version, lag(attr_value) over w as was, lead(p) over w as until from eff where t = 'attr' and attr_key is not null window w as (partition by book_id, id, lower(trim(attr_key)) order by p, eo, seq, rec_id)",
+    "log_canonical_events": WORLD
+    + """, x as (select distinct e.book_id, rec_id, r.dest as id, e.imp as weight, e.p from (select book_id, rec_id, unnest(who) as pid, imp, p from lg where t = 'event') e join r on r.book_id = e.book_id and r.id = e.pid)
+    select book_id, id, count(*) as events, count(*) filter (where weight >= 2) as important, min(p) as first_p, max(p) as last_p from x group by 1, 2""",
     "log_late_records": """with l as (select distinct book_id, rec_id, ord, p from kg_log where p is not null and ord is not null), r as (select *, max(p) over (partition by book_id order by ord, rec_id rows between unbounded preceding and 1 preceding) as reached from l)
     select book_id, count(*) as late, max(reached - p) as most from r where p < reached group by 1""",
     "log_entry_floor": """with w as (select distinct book_id, rec_id, p, unnest(who) as id from kg_log where t = 'event' and p is not null), f as (select book_id, id, min(p) as entry from kg_log where t = 'person' and p is not null group by 1, 2)
