@@ -3,7 +3,8 @@
 Every entity (an id within a scope, such as a person of a book) starts as a profile of its spellings. Profiles that share a
 full-name key merge; the merged profile has the union of the spellings, and so of surnames, given names and
 initials; richer profiles then re-enter the blocks of (surname, initial) and (surname, short form), where an
-abbreviated spelling joins the profile that is alone in explaining it. What was ambiguous between two profiles can be settled once
+abbreviated spelling joins the profile that is alone in explaining it. The full-name keys of a merged profile are those of its members, so in these
+blocks nothing new could be found. What was ambiguous between two profiles can be settled once
 they have merged, so this goes on until no further merge occurs.
 
 Keys, not pairs: a block links its members to its smallest one, so a block of n members makes n links, and a
