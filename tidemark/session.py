@@ -68,6 +68,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """The rows over at least twice as many partitions as there are cores, before a step of Python work; moved by hash of the key, so that a lost task finds the same rows."""
+    """The rows over at least twice as many partitions as there are cores, before a step of Python work.
+
+    Moved by hash of the key; without one in turn, after the sort by which Spark makes that repeatable, so a lost task finds the same rows either way and
+    repeated values do not gather in one task.
+    """
     wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *key)
