@@ -142,14 +142,14 @@ def _counts(texts: DataFrame, first_words: set[str]) -> DataFrame:
             for field, text in zip(batch["field"], batch["text"]):
                 if not field:
                     for token in reader.token.findall(text):
-                        n["w" + token] = n.get("w" + token, 0) + 1
+                        n["w" + token.casefold()] = n.get("w" + token.casefold(), 0) + 1
                     continue
                 core = reader.core(text)
                 sentences = reader.sentences(core)
                 for k, steps in enumerate(sentences):
                     unclosed = k == len(sentences) - 1 and not reader.closed.search(core)
                     for token, before, keys in steps[:-1] if unclosed else steps:
-                        n["w" + token] = n.get("w" + token, 0) + 1
+                        n["w" + token.casefold()] = n.get("w" + token.casefold(), 0) + 1
                         for key in keys:
                             n[key] = n.get(key, 0) + 1
                         if reader.is_word(token):
@@ -177,7 +177,7 @@ def _endings(texts: DataFrame, first_words: set[str]) -> DataFrame:
                     word, before, keys = sentences[-1][-1]
                     rows += [(rec, level, _key(key)) for level, key in enumerate(keys)]
                     if reader.is_word(word):
-                        rows += [(rec, WORD, _key("w" + word)), (rec, LONGER, _key(f"p{before}\t{word}"))]
+                        rows += [(rec, WORD, _key("w" + word.casefold())), (rec, LONGER, _key(f"p{before}\t{word}"))]
             yield pd.DataFrame(rows, columns=["rec_id", "level", "key"]).astype({"rec_id": "int64", "level": "int32", "key": "int64"})
 
     return texts.mapInPandas(end, "rec_id long, level int, key long")
