@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a name by which it is looked up, and of a long one; longer keys make smaller groups ("the tall clerk of Wick" shares four with every epithet).
 KEY, LONG = 4, 12
 _LENGTHS = (*range(2, KEY + 1), LONG)
+#: Numbers of 64 bits in the filter of a scope's keys: a fixed size, whatever the names. It drops most parts of texts where a scope has up to a few thousand names, few where it has more.
+WORDS = 128
+
+
+def _keyed(names: DataFrame, name: str) -> DataFrame:
+    """Names of two characters or more with the length of their key (LONG of long ones, at most KEY of others) and the hash of that beginning."""
+    names = names.where(F.length(name) >= 2).withColumn("_n", F.when(F.length(name) >= LONG, LONG).otherwise(F.least(F.length(name), F.lit(KEY))))
+    return names.withColumn("_key", F.xxhash64(F.substring(name, F.lit(1), F.col("_n"))))
+
+
+def _parts(text: Column, n: int) -> Column:
+    """Hashes of every part of a text of n characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
 
 
-def _key(name: Column) -> Column:
-    """The first characters of a name: LONG of a long one, at most KEY of others."""
-    return F.when(F.length(name) >= LONG, F.substring(name, 1, LONG)).otherwise(F.substring(name, 1, KEY))
+def _filters(keyed: DataFrame, scope: str) -> DataFrame:
+    """scope, _lengths, _bits: the lengths of the keys of each scope, and the filter in which the bit of every key is set."""
+    bit = F.pmod("_key", F.lit(64 * WORDS))
+    words = keyed.select(scope, "_n", F.shiftright(bit, 6).cast("int").alias("_word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("_bit")).groupBy(scope, "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_set"), F.collect_set("_n").alias("_ns"))
+    sets = words.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_set"))).alias("_sets"), F.array_distinct(F.flatten(F.collect_set("_ns"))).alias("_lengths"))
+    return sets.select(scope, "_lengths", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.element_at("_sets", i), F.lit(0).cast("bigint"))).alias("_bits"))
 
 
-def _parts(name: Column) -> Column:
-    """Every part of a text that can be the key of a name inside it; those shorter than KEY must be whole names."""
-    ends = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*map(ends, _LENGTHS)))
+def _found(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str, source: Column, parts: Callable[[Column, int], Column]) -> DataFrame:
+    """Texts with each name that they hold, looked up by its key. source: of a text; parts: hashes of the keys of one length in it, or null.
+
+    Keys that no name of the scope has are dropped before they are shuffled; of the rest only hashes are; texts are joined to what was found, and compared there.
+    The joins are sorted ones by hint: by the compressed size of what is exploded Spark would take it for small, and broadcast it. Names are read twice.
+    """
+    keyed = _keyed(names, name)
+    marked = texts.where(F.length(text) >= 2).withColumn("_h", F.xxhash64(scope, text))
+    bit = lambda k: F.pmod(k, F.lit(64 * WORDS))
+    known = lambda k: F.getbit(F.get("_bits", F.shiftright(bit(k), 6).cast("int")), bit(k).bitwiseAND(F.lit(63)).cast("int")) == 1
+    of = lambda n: F.when(F.array_contains("_lengths", n), F.filter(parts(F.col("_source"), n), known))
+    own = marked.select(scope, "_h", text).join(_filters(keyed, scope).hint("merge"), scope).select(scope, "_h", "_lengths", "_bits", source.alias("_source"))
+    keys = own.select(scope, "_h", F.explode(F.array_distinct(F.concat(*(F.coalesce(of(n), F.array().cast("array<bigint>")) for n in _LENGTHS)))).alias("_key"))
+    found = keys.join(keyed.drop("_n").hint("merge"), [scope, "_key"]).drop("_key").repartition(scope, "_h").distinct()
+    return marked.join(found.hint("merge"), [scope, "_h"]).drop("_h").where(F.col(text).contains(F.col(name)))
 
 
 def names_in_texts(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str) -> DataFrame:
@@ -26,12 +55,7 @@ def names_in_texts(texts: DataFrame, names: DataFrame, scope: str, text: str, na
 
     A name is looked up by its first characters, a short one by itself, among the parts of the texts; so a pair is only compared where it begins alike. Columns of both sides must differ but for the scope.
     """
-    keyed = names.where(F.length(name) >= 2).withColumn("_key", _key(F.col(name)))
-    marked = texts.where(F.length(text) >= 2).withColumn("_h", F.xxhash64(scope, text))
-    # Only hashes and keys are shuffled; texts are joined to what was found, and compared there.
-    parts = marked.select(scope, "_h", F.explode(_parts(F.col(text))).alias("_key"))
-    found = parts.join(keyed, [scope, "_key"]).drop("_key").distinct()
-    return marked.join(found, [scope, "_h"]).drop("_h").where(F.col(text).contains(F.col(name)))
+    return _found(texts, names, scope, text, name, F.col(text), _parts)
 
 
 def contained_names(left: DataFrame, right: DataFrame, scope: str = "book_id") -> DataFrame:
@@ -48,11 +72,6 @@ def whole_words(texts: DataFrame, names: DataFrame, scope: str, text: str, name:
     neither a letter nor a digit match nothing.
     """
     starts = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?<![A-Za-z])(?=([\p{{L}}\p{{N}}].{{0,{LONG - 1}}}))"), F.lit(1)))
-    keys = F.flatten(F.transform(starts, lambda s: F.array(*(F.substring(s, 1, n) for n in _LENGTHS))))
-    keyed = names.where(F.length(name) >= 2).withColumn("_key", _key(F.col(name)))
-    marked = texts.where(F.length(text) >= 2).withColumn("_h", F.xxhash64(scope, text))
-    parts = marked.select(scope, "_h", F.explode(F.array_distinct(keys)).alias("_key"))
-    found = parts.join(keyed, [scope, "_key"]).drop("_key").distinct()
     pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), F.col(name), F.lit(r"\E(?![A-Za-z])"))
-    hits = marked.join(found, [scope, "_h"]).drop("_h").where(F.col(text).contains(F.col(name)))
+    hits = _found(texts, names, scope, text, name, starts, lambda words, n: F.transform(words, lambda s: F.xxhash64(F.substring(s, 1, n))))
     return hits.withColumn("place", F.regexp_instr(text, pattern)).where("place > 0").withColumn("times", F.regexp_count(text, pattern))

@@ -89,7 +89,7 @@ def first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose text holds a name that first stands in the book later: the position they are raised to."""
     log = _whole(spark, sf_dir, "event", "attr", "profile", "rel")
-    first = first_mentions(spark, sf_dir).select("book_id", "name", "end")
+    first = cut(first_mentions(spark, sf_dir).select("book_id", "name", "end"))  # names are read twice
     hits = names_in_texts(_texts(log), first, "book_id", "text", "name").where("end > p")
     return hits.groupBy("rec_id").agg(F.max("p").alias("p"), F.max("end").alias("raised"))
 
