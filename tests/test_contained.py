@@ -1,6 +1,30 @@
 """Containment joins: nothing that grows with the texts or names is broadcast, and full filters lose nothing."""
 
 from tidemark.operators.contained import contained_names, names_in_texts, whole_words
+from tidemark.plans import reading
+
+
+def nodes(df):
+    """Every node of the plan that ran, each with those under it."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        found.append(node)
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += inner + [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def exploded_broadcasts(df):
+    """Broadcasts of rows that were exploded, whose size Spark cannot foresee."""
+    df.collect()
+    return [n for n in nodes(df) if n.nodeName() == "BroadcastExchange" and "Generate" in n.toString()]
+
+
+def write_log(spark, folder, rows, columns):
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{folder}/kg_log.parquet")
+    return str(folder)
 
 
 def test_no_join_of_names_and_texts_is_broadcast(spark):
@@ -19,19 +43,7 @@ def test_only_keys_of_names_are_shuffled(spark):
     found = names_in_texts(texts, names, "book_id", "t", "name")
     assert found.count() == 20
     found.collect()
-    metrics = []
-
-    def walk(node):
-        if node.getClass().getSimpleName() == "GenerateExec":
-            metrics.append(node.metrics().apply("numOutputRows").value())
-        if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec",):
-            walk(node.executedPlan())
-        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
-            walk(node.plan())
-        for i in range(node.children().size()):
-            walk(node.children().apply(i))
-
-    walk(found._jdf.queryExecution().executedPlan())
+    metrics = [n.metrics().apply("numOutputRows").value() for n in nodes(found) if n.nodeName() == "Generate"]
     # 20 texts of 200 characters have more than 10,000 parts.
     assert metrics and sum(metrics) < 200
 
@@ -43,3 +55,17 @@ def test_scopes_of_very_many_names(spark):
     want = {(t, n) for i, t in enumerate(texts) for n in (names[i], names[-i - 1])}
     for join in (names_in_texts, whole_words):
         assert {(r.t, r.name) for r in join(frame(texts, "t"), frame(names, "name"), "book_id", "t", "name").collect()} == want
+
+
+LOG = "rec_id long, book_id string, t string, p long, ord long, ingested_at long, id string, name string, alias string, intro string, tagline string, bio string, imp int, gender string, who array<string>, a string, b string, from_id string, into_id string, text string, attr_value string, rel_desc string, c map<string,long>"
+
+
+def record(rec_id, t, p, **values):
+    given = {"rec_id": rec_id, "book_id": "b", "t": t, "p": p, "ord": rec_id, "ingested_at": rec_id} | values
+    return tuple(given.get(x.split()[0]) for x in LOG.replace("map<string,long>", "map").split(", "))
+
+
+def test_probes_broadcast_nothing_exploded(spark, tmp_path):
+    rows = [record(1, "person", 1, id="P1", name="Ann", intro="The miller of Wickham"), record(2, "profile", 2, id="P1", bio="She is Lady Vale, and no miller."), record(3, "name", 90, id="P1", name="Lady Vale"), record(4, "person", 100, id="P2", name="Bo")]
+    found = reading.spoiler_probes(spark, write_log(spark, tmp_path, rows, LOG))
+    assert [(r.id, r.name) for r in found.collect()] == [("P1", "Lady Vale")] and not exploded_broadcasts(found)

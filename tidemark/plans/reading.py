@@ -12,6 +12,7 @@ from tidemark.operators.contained import names_in_texts
 from tidemark.operators.running import ranked, running, sliding, within_spans
 from tidemark.plans.log import CARD, CHAPTERS, LG, U16, _chapters, _log, _ranked
 from tidemark.plans.log import RANKED as RANKED_SQL
+from tidemark.session import cut
 from tidemark.sources.tables import log_records, table
 
 RECENT_CHARS, BUFFER, EVENTS_OF_A_DOSSIER, NODES = 900, 12, 45, 30
@@ -215,7 +216,7 @@ def spoiler_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = fold.people(_log(spark, sf_dir, "person", "name", "profile", "imp", "cnt")).select("book_id", "id", F.concat_ws(" ", "tagline", "bio").alias("text"))
     whole = table(spark, sf_dir, "kg_log").select("book_id", "p")
     names = log_records(spark, sf_dir, "person", "name", "alias").where("p is not null").select("book_id", F.coalesce("name", "alias").alias("name"), "p").groupBy("book_id", "name").agg(F.min("p").alias("known"))
-    later = names.join(fold.cutoffs(whole, 0.6), "book_id").where("known > pos and length(name) >= 2").select("book_id", "name")
+    later = cut(names.join(fold.cutoffs(whole, 0.6), "book_id").where("known > pos and length(name) >= 2").select("book_id", "name"))  # read twice
     return names_in_texts(cards, later, "book_id", "text", "name").select("book_id", "id", "name").distinct()
 
 
