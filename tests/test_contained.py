@@ -1,7 +1,7 @@
 """Containment joins: nothing that grows with the texts or names is broadcast, and full filters lose nothing."""
 
 from tidemark.operators.contained import contained_names, names_in_texts, whole_words
-from tidemark.plans import reading
+from tidemark.plans import naming, reading
 
 
 def nodes(df):
@@ -69,3 +69,9 @@ def test_probes_broadcast_nothing_exploded(spark, tmp_path):
     rows = [record(1, "person", 1, id="P1", name="Ann", intro="The miller of Wickham"), record(2, "profile", 2, id="P1", bio="She is Lady Vale, and no miller."), record(3, "name", 90, id="P1", name="Lady Vale"), record(4, "person", 100, id="P2", name="Bo")]
     found = reading.spoiler_probes(spark, write_log(spark, tmp_path, rows, LOG))
     assert [(r.id, r.name) for r in found.collect()] == [("P1", "Lady Vale")] and not exploded_broadcasts(found)
+
+
+def test_candidates_broadcast_nothing_exploded(spark, tmp_path):
+    rows = [record(1, "person", 1, id="P1", name="Ann Vale"), record(2, "person", 2, id="P2", name="Vale"), record(3, "person", 3, id="P3", name="Mr Vale"), record(4, "event", 4, who=["P1", "P3"]), record(5, "person", 5, id="P4", name="Bo")]
+    found = naming.same_candidates(spark, write_log(spark, tmp_path, rows, LOG))
+    assert {(r.a, r.b) for r in found.collect()} == {("P1", "P2"), ("P2", "P3")} and not exploded_broadcasts(found)

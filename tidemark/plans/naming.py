@@ -106,24 +106,25 @@ def same_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b: introduced persons of a book that may be one: a name or the core of a name in common, a word of a name in common, or a name inside the other's.
 
     Pairs seen together in an event or related to each other are none, nor persons whose known genders differ. a entered first.
+    The joins are sorted ones by hint, as words, pairs and people grow with the data: by their compressed size Spark would broadcast them.
     """
     from tidemark.plans.log import cooccurring
 
-    people = _people(spark, sf_dir).select("book_id", "id", "first", "gender")
-    named = cut(_named(spark, sf_dir).where(F.length("name") >= 2).join(people, ["book_id", "id"]).withColumn("weak", N.is_generic(F.col("name"))))
+    people = cut(_people(spark, sf_dir).select("book_id", "id", "first", "gender"))
+    named = cut(_named(spark, sf_dir).where(F.length("name") >= 2).join(people.hint("merge"), ["book_id", "id"]).withColumn("weak", N.is_generic(F.col("name"))))
     name = F.col("name")
     key = lambda kind, c: F.concat(F.lit(kind), c)
     none = F.array().cast("array<string>")
     proper = F.concat(F.when(N.core(name) != "", F.array(key("c", N.core(name)))).otherwise(none), F.when(N.is_latin(name), F.transform(N.tokens(name), lambda w: key("t", w))).otherwise(none))
     keyed = named.select("book_id", "id", F.explode(F.concat(F.array(key("n", name)), F.when(F.col("weak"), none).otherwise(proper))).alias("key")).distinct()
-    by_key = keyed.join(keyed.withColumnRenamed("id", "other"), ["book_id", "key"]).where("id < other").select("book_id", "id", "other")
+    by_key = keyed.join(keyed.withColumnRenamed("id", "other").hint("merge"), ["book_id", "key"]).where("id < other").select("book_id", "id", "other")
     strong = named.where("not weak")
     inside = contained_names(strong.select("book_id", "id", "name"), strong.select("book_id", F.col("id").alias("to"), F.col("name").alias("to_name")))
     pairs = by_key.unionByName(inside.where("id <> `to`").select("book_id", F.least("id", "to").alias("id"), F.greatest("id", "to").alias("other"))).distinct()
     related = log_records(spark, sf_dir, "rel").where("a is not null and b is not null").select("book_id", F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"))
     together = cooccurring(spark, sf_dir).select("book_id", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(related).distinct()
-    pairs = pairs.join(together, ["book_id", "id", "other"], "left_anti")
-    x = pairs.join(people.withColumnRenamed("gender", "ga").withColumnRenamed("first", "fa"), ["book_id", "id"]).join(people.select("book_id", F.col("id").alias("other"), F.col("first").alias("fb"), F.col("gender").alias("gb")), ["book_id", "other"]).where(~_clash("ga", "gb"))
+    pairs = pairs.join(together.hint("merge"), ["book_id", "id", "other"], "left_anti")
+    x = pairs.join(people.withColumnRenamed("gender", "ga").withColumnRenamed("first", "fa").hint("merge"), ["book_id", "id"]).join(people.select("book_id", F.col("id").alias("other"), F.col("first").alias("fb"), F.col("gender").alias("gb")).hint("merge"), ["book_id", "other"]).where(~_clash("ga", "gb"))
     early = F.struct("fa", "id") < F.struct("fb", "other")
     return x.select("book_id", F.when(early, F.col("id")).otherwise(F.col("other")).alias("a"), F.when(early, F.col("other")).otherwise(F.col("id")).alias("b"))
 
