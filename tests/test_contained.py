@@ -1,7 +1,7 @@
 """Containment joins: nothing that grows with the texts or names is broadcast, and full filters lose nothing."""
 
 from tidemark.operators.contained import contained_names, names_in_texts, whole_words
-from tidemark.plans import naming, reading
+from tidemark.plans import naming, reading, rules
 
 
 def nodes(df):
@@ -75,3 +75,16 @@ def test_candidates_broadcast_nothing_exploded(spark, tmp_path):
     rows = [record(1, "person", 1, id="P1", name="Ann Vale"), record(2, "person", 2, id="P2", name="Vale"), record(3, "person", 3, id="P3", name="Mr Vale"), record(4, "event", 4, who=["P1", "P3"]), record(5, "person", 5, id="P4", name="Bo")]
     found = naming.same_candidates(spark, write_log(spark, tmp_path, rows, LOG))
     assert {(r.a, r.b) for r in found.collect()} == {("P1", "P2"), ("P2", "P3")} and not exploded_broadcasts(found)
+
+
+def test_scrubbing_explodes_little_and_takes_deliveries_once(spark, tmp_path):
+    filler = "the rain fell on the quay of the old town and nobody came to the mill that day, "
+    rows = [record(1, "person", 1, id="P1", name="The Stranger"), record(2, "name", 90, id="P1", name="Lady Vale")]
+    rows += [record(3 + i, "event", 10 + 2 * i, text=f"{filler * 3}{i} Lady Vale came.", who=["P1"]) for i in range(80)]
+    rows.append(record(3, "event", 10, text=f"{filler * 3}0 Lady Vale came.", who=["P1"], ingested_at=999))
+    found = rules.scrubbed(spark, write_log(spark, tmp_path, rows, LOG))
+    got = found.collect()
+    # Only records before the name is known, position 90.
+    assert sorted((r.rec_id, r.safe) for r in got) == [(3 + i, f"{filler * 3}{i} The Stranger came.") for i in range(40)]
+    # 80 texts of 250 characters have more than 50,000 parts.
+    assert sum(n.metrics().apply("numOutputRows").value() for n in nodes(found) if n.nodeName() == "Generate") < 1000 and not exploded_broadcasts(found)

@@ -33,29 +33,33 @@ def _filters(keyed: DataFrame, scope: str) -> DataFrame:
     return sets.select(scope, "_lengths", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.element_at("_sets", i), F.lit(0).cast("bigint"))).alias("_bits"))
 
 
-def _found(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str, source: Column, parts: Callable[[Column, int], Column]) -> DataFrame:
-    """Texts with each name that they hold, looked up by its key. source: of a text; parts: hashes of the keys of one length in it, or null.
+def _found(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str, source: Column, parts: Callable[[Column, int], Column], before: tuple[str, str] | None = None) -> DataFrame:
+    """Texts with each name that they hold, looked up by its key. source: of a text; parts: hashes of the keys of one length in it, or null; before: see names_in_texts.
 
     Keys that no name of the scope has are dropped before they are shuffled; of the rest only hashes are; texts are joined to what was found, and compared there.
     The joins are sorted ones by hint: by the compressed size of what is exploded Spark would take it for small, and broadcast it. Names are read twice.
     """
     keyed = _keyed(names, name)
-    marked = texts.where(F.length(text) >= 2).withColumn("_h", F.xxhash64(scope, text))
+    own = (scope, "_h", *before[:1]) if before else (scope, "_h")
+    marked = texts.where(F.length(text) >= 2).withColumn("_h", F.xxhash64(scope, text, *own[2:]))
     bit = lambda k: F.pmod(k, F.lit(64 * WORDS))
     known = lambda k: F.getbit(F.get("_bits", F.shiftright(bit(k), 6).cast("int")), bit(k).bitwiseAND(F.lit(63)).cast("int")) == 1
     of = lambda n: F.when(F.array_contains("_lengths", n), F.filter(parts(F.col("_source"), n), known))
-    own = marked.select(scope, "_h", text).join(_filters(keyed, scope).hint("merge"), scope).select(scope, "_h", "_lengths", "_bits", source.alias("_source"))
-    keys = own.select(scope, "_h", F.explode(F.array_distinct(F.concat(*(F.coalesce(of(n), F.array().cast("array<bigint>")) for n in _LENGTHS)))).alias("_key"))
-    found = keys.join(keyed.drop("_n").hint("merge"), [scope, "_key"]).drop("_key").repartition(scope, "_h").distinct()
+    sources = marked.select(*own, text).join(_filters(keyed, scope).hint("merge"), scope).select(*own, "_lengths", "_bits", source.alias("_source"))
+    keys = sources.select(*own, F.explode(F.array_distinct(F.concat(*(F.coalesce(of(n), F.array().cast("array<bigint>")) for n in _LENGTHS)))).alias("_key"))
+    pairs = keys.join(keyed.drop("_n").hint("merge"), [scope, "_key"])
+    found = (pairs.where(F.col(before[0]) < F.col(before[1])) if before else pairs).drop("_key", *own[2:]).repartition(scope, "_h").distinct()
     return marked.join(found.hint("merge"), [scope, "_h"]).drop("_h").where(F.col(text).contains(F.col(name)))
 
 
-def names_in_texts(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str) -> DataFrame:
+def names_in_texts(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str, before: tuple[str, str] | None = None) -> DataFrame:
     """Rows of texts joined to the names of their scope (two characters or more) that occur in them. Null texts and names match nothing.
 
     A name is looked up by its first characters, a short one by itself, among the parts of the texts; so a pair is only compared where it begins alike. Columns of both sides must differ but for the scope.
+    before: a column of texts and one of names; only pairs in which the first is less are sought.
     """
-    return _found(texts, names, scope, text, name, F.col(text), _parts)
+    found = _found(texts, names, scope, text, name, F.col(text), _parts, before)
+    return found.where(F.col(before[0]) < F.col(before[1])) if before else found
 
 
 def contained_names(left: DataFrame, right: DataFrame, scope: str = "book_id") -> DataFrame:

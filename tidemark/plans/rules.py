@@ -55,9 +55,9 @@ def _reveals(log: DataFrame) -> DataFrame:
 
 
 def _texts(log: DataFrame) -> DataFrame:
-    """book_id, rec_id, t, p, text of the records that hold generated text."""
+    """book_id, rec_id, t, p, text of the records that hold generated text; those delivered again stand there again."""
     text = F.coalesce(*(F.when(F.col("t") == t, F.col(c)) for t, c in TEXTS.items()))
-    return log.where(F.col("t").isin(*TEXTS)).select("book_id", "rec_id", "t", "p", text.alias("text")).where("trim(text) <> ''").distinct()
+    return log.where(F.col("t").isin(*TEXTS)).select("book_id", "rec_id", "t", "p", text.alias("text")).where("trim(text) <> ''")
 
 
 def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +65,12 @@ def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Only texts that hold such a name meet the list of their book's reveals, which is applied in order.
     """
-    log = cut(_whole(spark, sf_dir, "person", "merge", "name", *TEXTS).select("book_id", "rec_id", "t", "p", "seq", "id", "name", "from_id", "into_id", *TEXTS.values()))
-    reveals, texts = cut(_reveals(log)), _texts(log)
-    hits = names_in_texts(texts, reveals.select("book_id", "name", "q", "old"), "book_id", "text", "name").where("p < q").select(*texts.columns).distinct()
+    log = cut(_whole(spark, sf_dir, "person", "merge", "name").select("book_id", "rec_id", "t", "p", "seq", "id", "name", "from_id", "into_id"))
+    reveals, texts = cut(_reveals(log)), _texts(_whole(spark, sf_dir, *TEXTS))
+    hits = names_in_texts(texts, reveals.groupBy("book_id", "name").agg(F.max("q").alias("q")), "book_id", "text", "name", ("p", "q")).select(*texts.columns).distinct()
     lists = reveals.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("l"), "name", "q", "old"))).alias("reveals"))
     swap = lambda text, r: F.when((F.col("p") < r["q"]) & text.contains(r["name"]), F.replace(F.replace(text, F.concat(r["old"], r["name"]), r["old"]), r["name"], r["old"])).otherwise(text)
-    out = hits.join(lists, "book_id").select("rec_id", "t", "text", F.aggregate("reveals", F.col("text"), swap).alias("safe"))
+    out = hits.join(lists.hint("merge"), "book_id").select("rec_id", "t", "text", F.aggregate("reveals", F.col("text"), swap).alias("safe"))
     return out.where("safe <> text").select("rec_id", "t", "safe")
 
 
@@ -90,7 +90,7 @@ def text_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose text holds a name that first stands in the book later: the position they are raised to."""
     log = _whole(spark, sf_dir, "event", "attr", "profile", "rel")
     first = cut(first_mentions(spark, sf_dir).select("book_id", "name", "end"))  # names are read twice
-    hits = names_in_texts(_texts(log), first, "book_id", "text", "name").where("end > p")
+    hits = names_in_texts(_texts(log), first, "book_id", "text", "name", ("p", "end"))
     return hits.groupBy("rec_id").agg(F.max("p").alias("p"), F.max("end").alias("raised"))
 
 
